@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pii, secrets
 from .jaccard_join import jaccard_components
 from .shared import documents
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES = {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_secrets, op6_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
