@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets
+from . import pii, quality, secrets
 from .jaccard_join import jaccard_components
 from .shared import documents
 
@@ -13,6 +13,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
@@ -21,5 +25,5 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_secrets, op6_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_secrets, op6_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
