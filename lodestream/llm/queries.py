@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import byte_bpe, pii, quality, secrets
+from . import byte_bpe, licenses, pii, quality, secrets
 from .jaccard_join import jaccard_components
 from .shared import documents
 
@@ -27,10 +27,14 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return byte_bpe.report(documents(spark, sf_dir), vocabulary)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_secrets, op6_ngram_jaccard_join, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_secrets, op6_ngram_jaccard_join, op7_license_scans, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
