@@ -1,4 +1,6 @@
 """Query suite: SQL and DataFrame forms with the oracle's SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import micro, tpch
+
+QUERIES: dict = tpch.QUERIES | micro.QUERIES
+ORACLE_SQL: dict = tpch.ORACLE_SQL | micro.ORACLE_SQL
