@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .shared import let
 
 #: Bound of the literal map of encoded words, and the longest word (bytes) it takes.
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
+CACHE_BUCKETS = 262139
 CACHE_BYTES = 48
 LONG = 64
 BUCKETS = 65521
@@ -99,64 +100,67 @@ def latin(word: Column) -> Column:
     return F.decode(word.cast("binary"), "ISO-8859-1")
 
 
-def _none() -> Column:
-    return F.array().cast("array<int>")
+#: Stands for "no such pair": above every rank.
+NONE = 1 << 30
 
 
 def _ids(s: Column, size: int, t: Column) -> Column:
-    """Ids of a Latin-1 byte string by ranked merges."""
+    """Ids of a Latin-1 byte string by ranked merges.
+
+    The state of the fold is the ids p of the pieces and the ranks r of their
+    adjacent pairs; a step merges one pair and looks up its two new neighbours.
+    """
 
     def rank(a: Column, b: Column) -> Column:
         key = a.cast("long") * size + b
         at = F.pmod(key, F.lit(BUCKETS)).cast("int")
-        return F.get(F.get(t["values"], at), F.array_position(F.get(t["keys"], at), key).cast("int") - 1)
+        return F.coalesce(F.get(F.get(t["values"], at), F.array_position(F.get(t["keys"], at), key).cast("int") - 1), F.lit(NONE))
 
     def ranks(p: Column) -> Column:
         return F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1)))
 
     def state(p: Column, r: Column) -> Column:
-        return F.struct(p.cast("array<int>").alias("p"), r.cast("array<int>").alias("r"))
+        return F.struct(p.alias("p"), r.alias("r"))
+
+    def some(x: Column) -> Column:
+        return F.filter(x, lambda v: v.isNotNull())
 
     def one(acc: Column, m: Column) -> Column:
         p, r = acc["p"], acc["r"]
 
-        def at(i: Column) -> Column:
-            fresh = F.concat(
-                F.when(i > 1, F.array(rank(F.get(p, i - 2), m))).otherwise(_none()),
-                F.when(i + 1 < F.size(p), F.array(rank(m, F.get(p, i + 1)))).otherwise(_none()),
-            )
-            return state(
-                F.concat(F.slice(p, 1, i - 1), F.array(m), F.slice(p, i + 2, F.size(p))),
-                F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), fresh, F.slice(r, i + 2, F.size(r))),
-            )
+        def at(j: Column) -> Column:
+            """Merge pair j, from 0."""
+            q = F.transform(p, lambda x, k: F.when(k == j, m).when(k != j + 1, x))
+            near = lambda x, k: F.when(k == j - 1, rank(F.get(p, j - 1), m)).when(k == j + 1, rank(m, F.get(p, j + 2))).when(k != j, x)
+            return state(some(q), some(F.transform(r, near)))
 
-        return let(F.array_position(r, m).cast("int"), at)
+        return let(F.array_position(r, m).cast("int") - 1, at)
 
     def every(acc: Column, m: Column) -> Column:
         p, r = acc["p"], acc["r"]
         here = lambda i: F.coalesce(F.get(r, i) == m, F.lit(False))
-        spots = F.filter(F.transform(r, lambda x, i: F.when(x == m, i)), lambda x: x.isNotNull())
+        spots = some(F.transform(r, lambda x, i: F.when(x == m, i)))
 
-        def taken(t: Column) -> Column:
-            """p with the pairs at t (0-based, apart) merged."""
-            before = F.flatten(F.transform(t, lambda x, k: F.concat(F.slice(p, F.when(k > 0, F.get(t, k - 1) + 3).otherwise(1), x - F.when(k > 0, F.get(t, k - 1) + 2).otherwise(0)), F.array(m))))
-            return F.concat(before, F.slice(p, F.get(t, F.size(t) - 1) + 3, F.size(p)))
+        def taken(t_: Column) -> Column:
+            """p with the pairs at t_ (from 0, apart) merged."""
+            before = F.flatten(F.transform(t_, lambda x, k: F.concat(F.slice(p, F.when(k > 0, F.get(t_, k - 1) + 3).otherwise(1), x - F.when(k > 0, F.get(t_, k - 1) + 2).otherwise(0)), F.array(m))))
+            return F.concat(before, F.slice(p, F.get(t_, F.size(t_) - 1) + 3, F.size(p)))
 
-        def runs(s: Column) -> Column:
-            firsts = F.filter(s, lambda i: ~here(i - 1))
-            lasts = F.filter(s, lambda i: ~here(i + 1))
-            return let(F.struct(firsts.alias("f"), lasts.alias("l")), lambda q: F.flatten(F.transform(q["f"], lambda x, k: F.sequence(x, F.get(q["l"], k), F.lit(2)))))
+        def runs(x: Column) -> Column:
+            firsts = F.filter(x, lambda i: ~here(i - 1))
+            lasts = F.filter(x, lambda i: ~here(i + 1))
+            return let(F.struct(firsts.alias("f"), lasts.alias("l")), lambda q: F.flatten(F.transform(q["f"], lambda v, k: F.sequence(v, F.get(q["l"], k), F.lit(2)))))
 
-        def decide(t: Column) -> Column:
-            passing = F.exists(t, lambda i: F.coalesce(rank(m, F.get(p, i + 2)) < m, F.lit(False)))
-            done = let(taken(t), lambda q: state(q, ranks(q)))
+        def decide(t_: Column) -> Column:
+            passing = F.exists(t_, lambda i: F.coalesce(rank(m, F.get(p, i + 2)) < m, F.lit(False)))
+            done = let(taken(t_), lambda q: state(q, ranks(q)))
             return let(done, lambda d: F.when(passing | F.coalesce(F.array_min(d["r"]) < m, F.lit(False)), one(acc, m)).otherwise(d))
 
         return let(let(spots, runs), decide)
 
     def fold(step):
         def merge(acc: Column, _) -> Column:
-            return let(F.array_min(acc["r"]), lambda m: F.when(m.isNull(), acc).otherwise(step(acc, m)))
+            return let(F.array_min(acc["r"]), lambda m: F.when(F.coalesce(m, F.lit(NONE)) == NONE, acc).otherwise(step(acc, m)))
 
         return lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p)), state(p, ranks(p)), merge, lambda acc: acc["p"])
 
@@ -179,44 +183,39 @@ def _tables(vocabulary: Vocabulary, known: str) -> Column:
 
 
 def _bucket(s: Column) -> Column:
-    return F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(s), F.lit(CACHE_BUCKETS)).cast("int")
 
 
 def _known(rows) -> str:
     """JSON of the bucketed word cache from (bucket, word, ids)."""
-    out = [{} for _ in range(BUCKETS)]
+    out = [{} for _ in range(CACHE_BUCKETS)]
     for b, w, ids in rows:
         out[b][w] = ids
     return json.dumps(out)
 
 
-def _pinned(spark, vocabulary: Vocabulary) -> list:
-    """Cache rows of the pieces that merging does not rebuild."""
-    odd = vocabulary.unreachable()
-    if not odd:
-        return []
-    df = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"w": w, "i": i} for w, i in odd.items()])), "array<struct<w:string,i:array<int>>>")).alias("x"))
-    return [tuple(r) for r in df.select(_bucket(F.col("x.w")), "x.w", "x.i").collect()]
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """docs with ``ids``: the token ids of each text."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.maxPlanStringLength", "200000")  # the literals are long; plans are logged
-    pinned = _pinned(spark, vocabulary)
     words = split_words(F.col(text_col), vocabulary)
+    odd = vocabulary.unreachable()
+
+    def fresh(w: Column, t: Column) -> Column:
+        """Ids of a word; whole words that are pieces which merging doesn't rebuild are looked up."""
+        folded = let(latin(w), lambda s: _ids(s, vocabulary.size, t))
+        if not odd:
+            return folded
+        pinned = F.from_json(F.lit(json.dumps(odd)), "map<string,array<int>>")
+        return F.coalesce(pinned.getItem(latin(w)), folded)
+
     every = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = every.where(F.octet_length("w") <= CACHE_BYTES).orderBy(F.desc("n"), "w").limit(cache_words).select(latin(F.col("w")).alias("s"))
-    fresh = let(_tables(vocabulary, _known(pinned)), lambda t: F.coalesce(F.get(t["known"], _bucket(F.col("s"))).getItem(F.col("s")), _ids(F.col("s"), vocabulary.size, t)))
-    done = top.repartition(8).select(_bucket(F.col("s")).alias("b"), "s", fresh.alias("ids")).toArrow()
-    rows = zip(*(c.to_pylist() for c in done.columns), strict=True)
-    known = _known([*pinned, *rows])
+    top = every.where(F.octet_length("w") <= CACHE_BYTES).orderBy(F.desc("n"), "w").limit(cache_words).select("w")
+    done = top.repartition(64, "w").select(_bucket(F.col("w")).alias("b"), "w", let(_tables(vocabulary, "[]"), lambda t: fresh(F.col("w"), t)).alias("ids")).toArrow()
+    known = _known(zip(*(c.to_pylist() for c in done.columns), strict=True))
 
     def all_words(t: Column) -> Column:
-        def word(s: Column) -> Column:
-            return F.coalesce(F.get(t["known"], _bucket(s)).getItem(s), _ids(s, vocabulary.size, t))
-
-        return F.flatten(F.transform(words, lambda w: let(latin(w), word)))
+        return F.flatten(F.transform(words, lambda w: F.coalesce(F.get(t["known"], _bucket(w)).getItem(w), fresh(w, t))))
 
     return docs.withColumn("ids", let(_tables(vocabulary, known), all_words))
 

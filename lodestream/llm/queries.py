@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import byte_bpe, licenses, pii, quality, secrets, substrings
+from . import byte_bpe, licenses, lines, pii, quality, secrets, substrings
 from .jaccard_join import jaccard_components
 from .shared import documents
 
@@ -35,10 +35,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return byte_bpe.report(documents(spark, sf_dir), vocabulary)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_secrets, op6_ngram_jaccard_join, op7_license_scans, op8_substring_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_secrets, op6_ngram_jaccard_join, op7_license_scans, op8_substring_dedup, op9_line_dedup, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
