@@ -57,35 +57,82 @@ def _runs(batches):
         last = (tok[j], node[j], size[j], bool(j < len(tok) - 1) or (j == 0 and last is not None and last[3]))
 
 
-def shared_lists(entries: DataFrame) -> DataFrame:
-    """Members of the inverted lists with at least two, and each list's leader: one shuffle, constant memory a list."""
-    e = entries.select(F.col("token").cast("long"), F.col("node").cast("long"), F.col("size").cast("int"))
-    return e.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_runs, "token long, node long, size int, leader long, leader_size int")
+def shared_lists(entries: DataFrame, smallest_first: bool = False) -> DataFrame:
+    """Members of the inverted lists with at least two, and each list's leader: one shuffle, constant memory a list.
 
+    The leader is the member with the smallest node, or of the smallest size.
+    """
+    e = entries.select(F.col("token").cast("long"), F.col("node").cast("long"), F.col("size").cast("long"))
+    by = ["token", "size", "node"] if smallest_first else ["token", "node", "size"]
+    return e.repartition("token").sortWithinPartitions(*by).mapInArrow(_runs, "token long, node long, size long, leader long, leader_size long")
+
+
+def _unpacked(batches):
+    """Lists of two different nodes or more, from packed entries; a part's rows are together."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for p, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held.setdefault(p, []).append([np.frombuffer(v, np.int64) for v in x])
+    for p in list(held):
+        token, node = (np.concatenate(v) for v in zip(*held.pop(p), strict=True))
+        o = np.lexsort((node, token))
+        token, node = token[o], node[o]
+        same = np.r_[False, (token[1:] == token[:-1]) & (node[1:] == node[:-1])]
+        token, node = token[~same], node[~same]
+        new = np.r_[True, token[1:] != token[:-1]]
+        i = np.flatnonzero(~new | np.r_[~new[1:], False])
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))[i]
+        zero = pa.array(np.zeros(len(i), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(token[i]), pa.array(node[i]), zero, pa.array(node[lead]), zero], names=["token", "node", "size", "leader", "leader_size"])
+
+
+def packed_lists(entries: DataFrame) -> DataFrame:
+    """As shared_lists, of entries packed as (part, token, node) with arrays of 64-bit values; sizes are 0."""
+    return entries.repartition("part").mapInArrow(_unpacked, "token long, node long, size long, leader long, leader_size long")
 
-def link_lists(entries: DataFrame, verify, ratio: float | None = 0.8) -> DataFrame:
-    """Verified links (a, b) that give the same components as all links between members of a list.
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def link_lists(lists: DataFrame, verify, close=None, tries: int = 4) -> DataFrame:
+    """Verified links (a, b) within lists (of shared_lists or packed_lists) that give the same components as all links between members of a list.
 
     First every member is held against its list's leader, which joins a large
-    group of alike members in as many pairs as it has members. Where a list
-    still spans several components, each member outside the list's largest one
-    is held against the members of other components. A pair that is left out
-    is thus already connected, so no link between components is lost, and no
-    group emits all its pairs. ``verify`` maps distinct (a, b) to those linked.
+    group of alike members in as many pairs as it has members. In lists that
+    still span several components, members outside the largest one are held
+    against ``tries`` of its members, chosen by hash. Where a list spans several
+    components even then, each member outside the largest is held against all
+    members of other components. A pair that is left out is thus already
+    connected, so no link between components is lost, and no group emits all
+    its pairs. ``close`` may rule out a pair by the two size values of one
+    list; ``verify`` maps distinct (a, b) to those linked.
     """
-    lists = cut(shared_lists(entries))
-    near = lambda x, y: F.lit(True) if ratio is None else (F.least(x, y) >= F.greatest(x, y) * F.lit(ratio) - 1e-9)
-    star = lists.where((F.col("node") != F.col("leader")) & near(F.col("size"), F.col("leader_size")))
-    star = cut(star.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
+    close = close or (lambda x, y: F.lit(True))
+    lists = cut(lists)
+    star = lists.where((F.col("node") != F.col("leader")) & close(F.col("size"), F.col("leader_size")))
+    star = cut(star.select(*_pair("leader", "node")).distinct())
     found = cut(verify(star))
-    comp = components(found)
-    lab = lists.select("token", "node", "size").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lab = cut(lab)
-    per = lab.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    open_lists = cut(lab.join(main.select("token", F.col("m.comp").alias("main")), "token"))
-    out = open_lists.where("comp <> main").select("token", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("comp").alias("xc"))
-    pairs = out.join(open_lists.select("token", F.col("node").alias("y"), F.col("size").alias("ys"), F.col("comp").alias("yc"), "main"), "token")
-    pairs = pairs.where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & near(F.col("xs"), F.col("ys")))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+
+    def spanning(found: DataFrame) -> DataFrame:
+        """Members of the lists with several components: own and largest component."""
+        lab = lists.select("token", "node", "size").join(components(found), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        lab = cut(lab)
+        per = lab.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+        main = per.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        return cut(lab.join(main.select("token", F.col("m.comp").alias("main")), "token"))
+
+    part = spanning(found)
+    ask = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "size")).alias(f"r{i}") for i in range(tries)]
+    heads = part.where("comp = main").groupBy("token").agg(*ask).select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"r{i}.node", f"r{i}.size") for i in range(tries)]))).alias("r"))
+    some = part.where("comp <> main").join(heads, "token").where(close(F.col("size"), F.col("r.size")))
+    some = some.select("node", F.col("r.node").alias("head")).select(*_pair("node", "head")).distinct().join(star, ["a", "b"], "left_anti")
+    some = cut(some)
+    found = cut(found.union(verify(some)))
+
+    part = spanning(found)
+    out = part.where("comp <> main").select("token", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("comp").alias("xc"))
+    rest = part.select(F.col("token").alias("t"), F.col("node").alias("y"), F.col("size").alias("ys"), F.col("comp").alias("yc"), "main")
+    both = (F.col("token") == F.col("t")) & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & close(F.col("xs"), F.col("ys"))
+    pairs = out.join(rest, both).select(*_pair("x", "y")).distinct().join(star.union(some), ["a", "b"], "left_anti")
     return found.union(cut(verify(cut(pairs))))

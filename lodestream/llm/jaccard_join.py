@@ -10,8 +10,9 @@ expanded into pairs.
 * Heavy (large) sets, and the light ones near enough in size, go to inverted
   lists over a prefix of the set in one global order (frequent shingles last,
   then by hash). Sets at the threshold share a prefix shingle. Lists are
-  scanned as ``graph.link_lists`` describes, and pairs are verified exactly on
-  the whole sets.
+  scanned as ``graph.link_lists`` describes. Pairs are first held against an
+  upper bound from small outlines of the sets, then verified exactly on the
+  whole sets.
 * The boundary is the size that minimises the estimated cost over the
   histogram of all set sizes.
 
@@ -42,6 +43,8 @@ from .shared import cut, small_batches
 LIGHT_MOST = 14
 #: Frequent shingles kept for the global order: a bounded table of 16 bytes each.
 FREQUENT_MOST = 1 << 16
+#: Sizes in lists carry the token's place in its set; places beyond count as the last one.
+PLACES = 1 << 24
 #: Ids broadcast as a filter (8 bytes each); beyond that the same join is shuffled.
 BROADCAST_IDS = 200_000
 
@@ -86,11 +89,34 @@ def _ordered(s: np.ndarray, freq: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, n))] if n.any() else s
 
 
+def _outline(s: np.ndarray) -> bytes:
+    """Members in each of 2**m equal hash ranges, one byte each: about a thirtieth of the set. Empty if one overflows."""
+    m = max(3, len(s).bit_length() - 2)
+    n = np.bincount((s >> np.uint64(64 - m)).astype(np.int64), minlength=1 << m)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b""
+
+
+def _may_be_alike(batches):
+    """Pairs that the outlines don't rule out: the overlap is at most the sum of the smaller counts."""
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if not x or not y:
+                keep.append(True)
+                continue
+            x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+            m = min(len(x), len(y))
+            x, y = x.reshape(m, -1).sum(1), y.reshape(m, -1).sum(1)
+            o = int(np.minimum(x, y).sum())
+            keep.append(100 * o >= 80 * (int(x.sum()) + int(y.sum()) - o))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _profile(k: int, freq: np.ndarray):
     def run(batches):
         for b in batches:
             raw, off = K.flat(b.column(1))
-            sizes, f1, f2, keys = [], [], [], []
+            sizes, f1, f2, keys, outline = [], [], [], [], []
             for i, j in K.slices(off):
                 for s in K.shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k):
                     n = len(s)
@@ -98,7 +124,8 @@ def _profile(k: int, freq: np.ndarray):
                     f1.append(K.fold(s, 1))
                     f2.append(K.fold(s, 2))
                     keys.append(_ordered(s, freq)[: n if n <= LIGHT_MOST else n - need(n) + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "keys"])
+                    outline.append(_outline(s))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.binary()), pa.array(outline, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "keys", "outline"])
 
     return run
 
@@ -125,7 +152,7 @@ def _subsets(batches):
                     tok.append(K.fold(s[list(c)], 100 + t))
                     node.append(d)
                     size.append(n * 64 + t)
-        yield pa.RecordBatch.from_arrays([pa.array(tok, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int32())], names=["token", "node", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(tok, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64())], names=["token", "node", "size"])
 
 
 def _postings(batches):
@@ -134,7 +161,20 @@ def _postings(batches):
         keys = [np.frombuffer(x, np.uint64)[: n - need(n) + 1] for x, n in zip(b.column(2).to_pylist(), size.tolist(), strict=True)]
         count = [len(x) for x in keys]
         tok = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(np.repeat(node, count), pa.int64()), pa.array(np.repeat(size, count), pa.int32())], names=["token", "node", "size"])
+        place = np.minimum(np.concatenate([np.arange(c) for c in count]) if count else np.zeros(0, np.int64), PLACES - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(np.repeat(node, count), pa.int64()), pa.array(np.repeat(size.astype(np.int64), count) * PLACES + place, pa.int64())], names=["token", "node", "size"])
+
+
+def _close(x, y):
+    """Whether sets that share a token, given size and place of the token in the global order, can be alike by it.
+
+    With overlap o >= 4 (|x| + |y|) / 9 the sets share a token among the first
+    |x| - o + 1 of the one and |y| - o + 1 of the other, and neither is under
+    0.8 of the other's size.
+    """
+    nx, ny, px, py = F.floor(x / PLACES), F.floor(y / PLACES), F.pmod(x, F.lit(PLACES)), F.pmod(y, F.lit(PLACES))
+    o = F.ceil((nx + ny) * 4 / 9 - 1e-9)
+    return (5 * F.least(nx, ny) >= 4 * F.greatest(nx, ny)) & (px <= nx - o) & (py <= ny - o)
 
 
 def _sets(k: int):
@@ -181,28 +221,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession, 200)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     freq = frequent_shingles(docs, "text", k)
-    prof = cut(docs.mapInArrow(_profile(k, freq), "doc_id long, n_shingles long, f1 long, f2 long, keys binary"))
+    prof = cut(docs.mapInArrow(_profile(k, freq), "doc_id long, n_shingles long, f1 long, f2 long, keys binary, outline binary"))
     same = prof.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(same.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")))
+    classes = cut(same.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("keys", "outline"), "doc_id").alias("x")).select("f1", "f2", "n_shingles", "node", "x.*"))
     sized = classes.select("node", F.col("n_shingles").cast("int").alias("size"), "keys")
     stats = classes.groupBy("n_shingles").agg(F.count(F.lit(1)).alias("n")).where(f"n_shingles <= {LIGHT_MOST}")
     light = boundary({r[0]: r[1] for r in stats.collect()}, list_length=1.0)
 
-    subsets = sized.where(F.col("size") <= light).mapInArrow(_subsets, "token long, node long, size int")
+    subsets = sized.where(F.col("size") <= light).mapInArrow(_subsets, "token long, node long, size long")
     t, own, lead = F.pmod("size", F.lit(64)), F.floor(F.col("size") / 64), F.floor(F.col("leader_size") / 64)
-    small = shared_lists(subsets).where((F.col("node") != F.col("leader")) & (5 * t >= 4 * (own + lead - t)))
+    small = shared_lists(subsets, smallest_first=True).where((F.col("node") != F.col("leader")) & (5 * t >= 4 * (own + lead - t)))
     small = small.select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
-    postings = sized.where(F.col("size") >= need(light + 1)).mapInArrow(_postings, "token long, node long, size int")
+    postings = sized.where(F.col("size") >= need(light + 1)).mapInArrow(_postings, "token long, node long, size long")
+
+    outlines = classes.select("node", F.col("outline").alias("items"))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = cut(verified(pairs, outlines, _may_be_alike))
         ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
         items = cut(needed(docs, "doc_id", ends, "doc_id").mapInArrow(_sets(k), "node long, items binary"))
         return verified(pairs, items)
 
-    comp = components(link_lists(postings, verify).union(small))
+    comp = components(link_lists(shared_lists(postings), verify, _close).union(small))
     label = classes.select("f1", "f2", "n_shingles", "node").join(comp, "node", "left")
     label = label.select("f1", "f2", "n_shingles", "node", F.coalesce("comp", "node").alias("comp"))
-    out = prof.drop("keys").join(label, ["f1", "f2", "n_shingles"], "left")
+    out = prof.drop("keys", "outline").join(label, ["f1", "f2", "n_shingles"], "left")
     own = F.col("doc_id")
     return out.select("doc_id", "n_shingles", F.when(own.isNotNull(), F.coalesce("comp", own)).alias("component_id"), F.when(own.isNotNull(), F.coalesce("node", own)).alias("class_id"))
