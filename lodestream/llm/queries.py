@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import byte_bpe, licenses, lines, pii, quality, secrets, substrings
+from . import byte_bpe, decontaminate, licenses, lines, pii, quality, secrets, substrings, token_files
 from .jaccard_join import jaccard_components
 from .shared import documents
 
@@ -19,10 +19,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_files.document_counts(documents(spark, sf_dir), vocabulary)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -44,5 +53,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(documents(spark, sf_dir), vocabulary)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_secrets, op6_ngram_jaccard_join, op7_license_scans, op8_substring_dedup, op9_line_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontamination, op4_secrets, op5_token_counts, op6_ngram_jaccard_join, op7_license_scans, op8_substring_dedup, op9_line_dedup, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
