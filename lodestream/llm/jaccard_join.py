@@ -238,6 +238,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     outlines = classes.select("node", F.col("outline").alias("items"))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
         pairs = cut(verified(pairs, outlines, _may_be_alike))
         ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
         items = cut(needed(docs, "doc_id", ends, "doc_id").mapInArrow(_sets(k), "node long, items binary"))

@@ -168,6 +168,8 @@ def redundant_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = packed_lists(docs.select("text").mapInArrow(_tokens(parts), "part int, token binary, node binary"))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
         bits = spark.sparkContext.broadcast(wanted_bits(ends))
         held = docs.select("text").mapInArrow(_texts(bits), "node long, items binary").groupBy("node").agg(F.min("items").alias("items"))

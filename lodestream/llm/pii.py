@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import random
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,9 +142,17 @@ def labelled_sample(seed: int = 7) -> list[dict]:
     return rows
 
 
-@lru_cache(maxsize=1)
-def _fitted(session_id: int) -> dict[str, tuple[list, float, dict]]:
-    spark = SparkSession.getActiveSession()
+_MODEL: dict[str, tuple[list, float, dict]] = {}
+
+
+def model(spark: SparkSession) -> dict[str, tuple[list, float, dict]]:
+    """Per kind: trees, threshold and held-out figures; fitted once a process."""
+    if not _MODEL:
+        _MODEL.update(_fitted(spark))
+    return _MODEL
+
+
+def _fitted(spark: SparkSession) -> dict[str, tuple[list, float, dict]]:
     rows = labelled_sample()
     df = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<kind:string,before:string,v:string,y:int>>")).alias("r")).select("r.*")
     out = {}
@@ -161,11 +168,6 @@ def _fitted(session_id: int) -> dict[str, tuple[list, float, dict]]:
     return out
 
 
-def model(spark: SparkSession) -> dict[str, tuple[list, float, dict]]:
-    """Per kind: trees, threshold and held-out figures; fitted once a process."""
-    return _fitted(0)
-
-
 def candidates(text: Column, kind: str, trees: list, cut: float) -> Column:
     """Generated spans of one kind that the trees select."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import byte_bpe, decontaminate, licenses, lines, pii, quality, secrets, substrings, token_files
+from . import byte_bpe, decontaminate, licenses, lines, oracle, pii, quality, secrets, substrings, token_files
 from .jaccard_join import jaccard_components
 from .shared import documents
 
@@ -54,4 +54,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontamination, op4_secrets, op5_token_counts, op6_ngram_jaccard_join, op7_license_scans, op8_substring_dedup, op9_line_dedup, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": oracle.QUALITY,
+    "op6_ngram_jaccard_join": oracle.JACCARD,
+    "op8_substring_dedup": oracle.SUBSTRINGS,
+}
