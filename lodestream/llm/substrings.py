@@ -122,15 +122,31 @@ def _settle(h, h2, doc, at):
     return h, h2, doc, at, doc == doc[lead]
 
 
-def _by_doc(doc: np.ndarray, at: np.ndarray):
-    """(doc, packed places) rows."""
-    o = np.lexsort((at, doc))
-    doc, at = doc[o], at[o].astype(np.int32)
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    return doc[cuts], [x.tobytes() for x in np.split(at, cuts[1:])] if len(cuts) else []
+def _packed(doc: np.ndarray, at: np.ndarray, parts: int):
+    """(bucket of documents, packed ids, packed places) rows: a few for each task, however many documents."""
+    bucket = (K.mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    o = np.lexsort((at, doc, bucket))
+    doc, at = doc[o].astype(np.int64), at[o].astype(np.int32)
+    cuts = np.searchsorted(bucket[o], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)):
+        yield int(p), doc[cuts[p] : cuts[p + 1]].tobytes(), at[cuts[p] : cuts[p + 1]].tobytes()
+
+
+def _gathered(batches):
+    """(doc_id, places) with one row a document; a bucket's rows are together, other buckets follow."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for p, doc, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held.setdefault(p, []).append((np.frombuffer(doc, np.int64), np.frombuffer(at, np.int32)))
+    for p in list(held):
+        doc, at = (np.concatenate(x) for x in zip(*held.pop(p), strict=True))
+        o = np.lexsort((at, doc))
+        doc, at = doc[o], at[o]
+        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array([x.tobytes() for x in np.split(at, cuts[1:])], pa.binary())], names=["doc_id", "places"])
 
 
-_MOVED = ["part", "settled", "doc_id", "h", "h2", "at"]
+_MOVED = ["part", "doc_id", "h", "h2", "at"]
 
 
 def _candidates(size: int, bitmap, parts: int):
@@ -147,10 +163,8 @@ def _candidates(size: int, bitmap, parts: int):
             return
         h, h2, doc, at, first = _settle(*(np.concatenate(x) for x in zip(*rows, strict=True)))
         rows.clear()
-        late, places = _by_doc(doc[~first], at[~first])
-        for i in range(0, len(late), 2000):
-            m = len(late[i : i + 2000])
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * m, pa.int32()), pa.array(late[i : i + 2000], pa.int64()), *(pa.array([b""] * m, pa.binary()) for _ in range(3)), pa.array(places[i : i + 2000], pa.binary())], names=_MOVED)
+        for p, ids_, places in _packed(doc[~first], at[~first], parts):
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - p], pa.int32()), pa.array([ids_], pa.binary()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([places], pa.binary())], names=_MOVED)
         h, h2, doc, at = h[first], h2[first], doc[first], at[first]
         part = (h % np.uint64(parts)).astype(np.int64)
         o = np.lexsort((at, doc, part))
@@ -160,26 +174,28 @@ def _candidates(size: int, bitmap, parts: int):
             a, z = cuts[p], cuts[p + 1]
             if z > a:
                 x = (doc[a:z].astype(np.int64), h[a:z], h2[a:z], at[a:z])
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([None], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in x)], names=_MOVED)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in x)], names=_MOVED)
 
     return run
 
 
-def _late(batches):
-    """Places whose window an earlier document holds; a part's rows are together, other parts follow."""
-    held: dict[int, list] = {}
-    for b in batches:
-        for p, _, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            held.setdefault(p, []).append([np.frombuffer(v, t) for v, t in zip(x, (np.int64, np.uint64, np.uint16, np.int32), strict=True)])
-    found = []
-    for p in list(held):
-        doc, h, h2, at = (np.concatenate(v) for v in zip(*held.pop(p), strict=True))
-        _, _, doc, at, first = _settle(h, h2, doc, at)
-        found.append((doc[~first], at[~first]))
-    if found:
-        late, places = _by_doc(*(np.concatenate(v) for v in zip(*found, strict=True)))
-        for i in range(0, len(late), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(late[i : i + 2000], pa.int64()), pa.array(places[i : i + 2000], pa.binary())], names=["doc_id", "places"])
+def _late(parts: int):
+    def run(batches):
+        """Places whose window an earlier document holds; a part's rows are together, other parts follow."""
+        held: dict[int, list] = {}
+        for b in batches:
+            for p, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.setdefault(p, []).append([np.frombuffer(v, t) for v, t in zip(x, (np.int64, np.uint64, np.uint16, np.int32), strict=True)])
+        found = []
+        for p in list(held):
+            doc, h, h2, at = (np.concatenate(v) for v in zip(*held.pop(p), strict=True))
+            _, _, doc, at, first = _settle(h, h2, doc, at)
+            found.append((doc[~first], at[~first]))
+        if found:
+            for p, ids, places in _packed(*(np.concatenate(v) for v in zip(*found, strict=True)), parts):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([ids], pa.binary()), pa.array([places], pa.binary())], names=["bucket", "ids", "places"])
+
+    return run
 
 
 def _kept(size: int):
@@ -191,11 +207,10 @@ def _kept(size: int):
                 n.append(len(words))
                 if places:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    for x in places:
-                        p = np.frombuffer(x, np.int32)
-                        p = p[p + size <= len(words)]
-                        np.add.at(edge, p, 1)
-                        np.add.at(edge, p + size, -1)
+                    p = np.frombuffer(places, np.int32)
+                    p = p[p + size <= len(words)]
+                    np.add.at(edge, p, 1)
+                    np.add.at(edge, p + size, -1)
                     gone = np.cumsum(edge)[:-1] > 0
                     removed.append(int(gone.sum()))
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
@@ -216,10 +231,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = docs.where("doc_id is not null")
     bitmap = spark.sparkContext.broadcast(repeated_names(known, size))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    moved = cut(known.mapInArrow(_candidates(size, bitmap, parts), "part int, settled long, doc_id binary, h binary, h2 binary, at binary"))
-    here = moved.where("part < 0").select(F.col("settled").alias("doc_id"), F.col("at").alias("places"))
-    there = moved.where("part >= 0").repartition("part").mapInArrow(_late, "doc_id long, places binary")
-    gone = here.union(there).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    moved = cut(known.mapInArrow(_candidates(size, bitmap, parts), "part int, doc_id binary, h binary, h2 binary, at binary"))
+    here = moved.where("part < 0").select((-1 - F.col("part")).alias("bucket"), F.col("doc_id").alias("ids"), F.col("at").alias("places"))
+    there = moved.where("part >= 0").repartition("part").mapInArrow(_late(parts), "bucket int, ids binary, places binary")
+    gone = here.union(there).repartition("bucket").mapInArrow(_gathered, "doc_id long, places binary")
     return docs.join(gone, "doc_id", "left").mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
