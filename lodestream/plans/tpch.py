@@ -7,9 +7,11 @@ become doubles at the end, so that results don't depend on the order of rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.catalog import register
+from ..sources.catalog import TABLES, register
 
 
 def money(c: str) -> str:
@@ -110,17 +112,18 @@ where (p_partkey = l_partkey and p_brand = 'Brand#12' and p_container in ('SM CA
 
 
 def _sql(name: str, cte: dict[str, str]) -> str:
-    import re
-
     body = BODIES[name]
     used = [f"{k} as ({v})" for k, v in cte.items() if re.search(rf"\b{k}\b", body)]
     return ("with " + ", ".join(used) + " " if used else "") + body
 
 
 def run(name: str):
+    text = _sql(name, SPARK)
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
-        return spark.sql(_sql(name, SPARK))
+        register(spark, sf_dir, used)
+        return spark.sql(text)
 
     return query
 
