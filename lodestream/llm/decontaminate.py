@@ -5,10 +5,11 @@ that every place of an item lies whole in one) are the queries. Scores are
 divided by an item's score for itself, so one threshold serves all items.
 Retrieval is exact above the threshold:
 
-1. terms whose best contributions together stay under the threshold can't make
-   a hit; passages with none of the other terms are dropped, for a whole slice
-   of text at a time;
-2. so are passages whose distinct terms' best contributions add up to less;
+1. terms that together stay under the threshold for every item can't make a
+   hit; passages with none of the other terms are dropped, for a whole slice of
+   text at a time;
+2. so are passages whose distinct terms' maxima in every block of items add up
+   to less;
 3. what is left runs block-max WAND over the postings.
 
 Retrieved pairs are verified on the words: share of the question's distinct
@@ -37,12 +38,13 @@ from . import kernels as K
 from .shared import small_batches
 
 K1, B = 1.2, 0.75
-#: Share of an item's own score that a passage needs to be verified.
-RETRIEVE = 0.5
+#: Share of an item's own score that a passage needs to be verified. What passes verification holds nearly
+#: all of an item's words, so it scores well above this.
+RETRIEVE = 0.7
 QUESTION, ANSWER = 0.8, 0.8
 SHINGLE = 5
 ITEMS_A_SCAN = 20_000
-BLOCK = 64
+BLOCK = 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -95,10 +97,19 @@ class Index:
             for i, v in p:
                 m[i // BLOCK] = max(m.get(i // BLOCK, 0.0), v)
             self.blocks.append(m)
-        low = np.argsort(self.best)
-        spare = np.cumsum(self.best[low]) < threshold - 1e-9
+        self.n_blocks = -(-n // BLOCK)
+        self.at = np.cumsum([0, *map(len, self.blocks)])
+        self.block = np.array([x for m in self.blocks for x in m], dtype=np.int64)
+        self.most = np.array([x for m in self.blocks for x in m.values()], dtype=np.float64)
+        # Terms are spared, common and short ones first, while what is spared of any one item
+        # stays under the threshold: a passage of spared terms alone reaches no item.
         self.essential = np.ones(len(self.terms), dtype=bool)
-        self.essential[low[spare]] = False
+        spared = [0.0] * n
+        for t in sorted(range(len(self.terms)), key=lambda t: (-len(self.posts[t]), len(self.terms[t]))):
+            if all(spared[i] + v < threshold - 1e-9 for i, v in self.posts[t]):
+                self.essential[t] = False
+                for i, v in self.posts[t]:
+                    spared[i] += v
         raw = "".join(self.terms).encode()
         off = np.cumsum([0, *(len(x.encode()) for x in self.terms)])
         h = K.span_hashes(np.frombuffer(raw, np.uint8), off[:-1], off[1:])
@@ -185,7 +196,10 @@ def _hits(index: Index):
         pair = np.repeat(np.arange(len(left)), n) * len(index.terms) + term[place]
         pair = np.unique(pair[term[place] >= 0])
         of, t = pair // len(index.terms), pair % len(index.terms)
-        bound = np.bincount(of, weights=index.best[t], minlength=len(left))
+        m = index.at[t + 1] - index.at[t]
+        entry = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(index.at[t], m)
+        block = np.repeat(of, m) * index.n_blocks + index.block[entry]
+        bound = np.bincount(block, weights=index.most[entry], minlength=len(left) * index.n_blocks).reshape(len(left), -1).max(1)
         cuts = np.searchsorted(of, np.arange(len(left) + 1))
         for i in np.flatnonzero(bound >= index.threshold - 1e-9):
             p = left[i]
