@@ -96,7 +96,7 @@ def _pair(x: str, y: str) -> list:
 
 
 def link_lists(lists: DataFrame, verify, close=None, tries: int = 4) -> DataFrame:
-    """Verified links (a, b) within lists (of shared_lists or packed_lists) that give the same components as all links between members of a list.
+    """Verified links (a, b) within lists (of shared_lists or packed_lists, with lineage cut) that give the same components as all links between members of a list.
 
     First every member is held against its list's leader, which joins a large
     group of alike members in as many pairs as it has members. In lists that
@@ -109,7 +109,6 @@ def link_lists(lists: DataFrame, verify, close=None, tries: int = 4) -> DataFram
     list; ``verify`` maps distinct (a, b) to those linked.
     """
     close = close or (lambda x, y: F.lit(True))
-    lists = cut(lists)
     star = lists.where((F.col("node") != F.col("leader")) & close(F.col("size"), F.col("leader_size")))
     star = cut(star.select(*_pair("leader", "node")).distinct())
     found = cut(verify(star))

@@ -245,7 +245,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         items = cut(needed(docs, "doc_id", ends, "doc_id").mapInArrow(_sets(k), "node long, items binary"))
         return verified(pairs, items)
 
-    comp = components(link_lists(shared_lists(postings), verify, _close).union(small))
+    comp = components(link_lists(cut(shared_lists(postings)), verify, _close).union(small))
     label = classes.select("f1", "f2", "n_shingles", "node").join(comp, "node", "left")
     label = label.select("f1", "f2", "n_shingles", "node", F.coalesce("comp", "node").alias("comp"))
     out = prof.drop("keys", "outline").join(label, ["f1", "f2", "n_shingles"], "left")

@@ -70,7 +70,7 @@ def signatures(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     end = np.minimum(at + GRAM, np.repeat(e, n))
     h = K.mix((acc[end] - acc[at]) * K.powers(len(raw), K._BASE_INV)[at])
     out = np.full(len(s) * bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(out, line * bins + (h >> np.uint64(40)).astype(np.int64) % bins, h)
+    np.minimum.at(out, line * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), h)
     out = out.reshape(len(s), bins)
     low = np.flatnonzero((out == np.iinfo(np.uint64).max).any(1))
     part = out[low]
@@ -140,9 +140,11 @@ def shingles(line: bytes) -> set[bytes]:
 
 def _alike(batches):
     for b in batches:
-        keep = []
+        keep, last, left = [], None, set()
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = shingles(x), shingles(y)
+            if x != last:  # a hub's pairs come one after another
+                last, left = x, shingles(x)
+            x, y = left, shingles(y)
             o = len(x & y)
             keep.append(o >= THRESHOLD * (len(x) + len(y) - o) - 1e-9)
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -165,15 +167,14 @@ def redundant_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     occ = cut(docs.mapInArrow(_occurrences, "node long, doc_id long, line int"))
-    lists = packed_lists(docs.select("text").mapInArrow(_tokens(parts), "part int, token binary, node binary"))
+    lists = cut(packed_lists(docs.select("text").mapInArrow(_tokens(parts), "part int, token binary, node binary")))
+    nodes = lists.select("node").distinct()
+    bits = spark.sparkContext.broadcast(wanted_bits(nodes))
+    texts = docs.select("text").mapInArrow(_texts(bits), "node long, items binary").join(nodes, "node", "left_semi")
+    held = cut(texts.groupBy("node").agg(F.min("items").alias("items")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        if pairs.isEmpty():
-            return pairs
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-        bits = spark.sparkContext.broadcast(wanted_bits(ends))
-        held = docs.select("text").mapInArrow(_texts(bits), "node long, items binary").groupBy("node").agg(F.min("items").alias("items"))
-        return verified(pairs, held.join(ends.distinct(), "node", "left_semi"), _alike)
+        return pairs if pairs.isEmpty() else verified(pairs, held, _alike)
 
     comp = components(link_lists(lists, verify))
     per = occ.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
