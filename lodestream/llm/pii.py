@@ -1,13 +1,14 @@
 """Personal data: base patterns, plus candidates that boosted trees select.
 
 Four base kinds (email, ip, card, phone) are found by pattern and check. High
-recall generators then propose further spans of the same kinds and of ``id``
-(identity and account numbers), which may overlap. Each candidate gets format
-features and features of the text around it; gradient-boosted trees, fitted on
-the labelled sample below (at most ``SAMPLE_MOST`` rows), score it; a threshold
-per kind, calibrated on the held-out third for ``PRECISION``, selects. Selected
-candidates that overlap a base span, or a selected one before them, are left
-out. Everything that touches documents is a built-in function.
+recall generators, several for some kinds, then propose a span at every start
+where one matches, of the same kinds and of ``id`` (identity and account
+numbers); proposals overlap. Each candidate gets format features and features
+of the text around it; gradient-boosted trees, fitted on the labelled sample
+below (at most ``SAMPLE_MOST`` rows), score it; a threshold per kind, calibrated
+on the held-out third for ``PRECISION``, selects. Of the selected candidates
+that overlap no base span, those that overlap are taken by score, the best
+first. Everything that touches documents is a built-in function.
 
 Defined cases: null and empty texts have no spans; positions are code points,
 end exclusive; columns of the input are kept, names that clash are replaced.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import boost
 from .shared import let
-from .spans import EMPTY, apart, matches, render
+from .spans import EMPTY, apart, every_match, matches, render
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 SAMPLE_MOST = 2000
@@ -41,12 +42,13 @@ BASE = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
+#: Patterns of each kind; candidates are their matches at every start. The last ones of card are the runs and windows of 16 to 19 digits in longer ones.
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?[A-Za-z0-9-]{1,63}\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z]{2,12}(?![A-Za-z])",
-    "ip": r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9.])[0-9]{4}(?:[./_\x20-]{1,3}[0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![0-9+(-])\(?0?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]{1,2}[0-9]{3,4}(?![0-9-])",
-    "id": r"(?<![A-Za-z0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9-])",
+    "email": [r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?[A-Za-z0-9-]{1,63}\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z]{2,12}(?![A-Za-z])"],
+    "ip": [r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])"],
+    "card": [r"(?<![0-9.])[0-9]{4}(?:[./_\x20-]{1,3}[0-9]{4}){3}(?![0-9])", *(rf"[0-9](?:[\x20-]?[0-9]){{{n - 1}}}" for n in range(16, 20))],
+    "phone": [r"(?<![0-9+(-])\(?0?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]{1,2}[0-9]{3,4}(?![0-9-])"],
+    "id": [r"(?<![A-Za-z0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9-])"],
 }
 CUES = {
     "email": r"e-?mail|contact|write|reach|mailto|address",
@@ -85,7 +87,7 @@ def base_spans(text: Column, kind: str) -> Column:
     return found if NEEDS[kind] is None else F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast(EMPTY))
 
 
-def features(v: Column, before: Column, kind: str) -> list[Column]:
+def features(v: Column, before: Column, after: Column, kind: str) -> list[Column]:
     """Format and context features of a candidate of one kind."""
     d = F.regexp_replace(v, r"[^0-9]", "")
     low = F.lower(before)
@@ -102,22 +104,36 @@ def features(v: Column, before: Column, kind: str) -> list[Column]:
         num(v.rlike(r"\A[0-9]{4}[./-][0-9]{2}")),
         num(v.rlike(r"(?i)\x20dot\x20[a-z]{2,4}\z|[)\]}]\x20?[a-z]{2,4}\z")),
         num(F.size(F.array_distinct(F.split(d, ""))) <= 3),
+        num(before.rlike(r"[0-9]\z")),
+        num(after.rlike(r"\A[0-9]")),
+        num(v.rlike(r"\A(?:[0-9]{16,19}|[0-9]{4}(?:[^0-9]{1,3}[0-9]{4}){3}(?:[^0-9]{1,3}[0-9]{1,3})?)\z")),
     ]
 
 
 def labelled_sample(seed: int = 7) -> list[dict]:
-    """Deterministic labelled candidates (kind, before, v, y): at most SAMPLE_MOST rows."""
-    rnd, rows = random.Random(seed), []
-    digit = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    """Deterministic labelled candidates (kind, before, v, after, y): at most SAMPLE_MOST rows."""
+    rnd, more, rows = random.Random(seed), random.Random(seed + 1), []
+    digit = lambda n, rnd=rnd: "".join(rnd.choice("0123456789") for _ in range(n))
     name = lambda: rnd.choice(["ann.lee", "joe", "k.weber", "maria_s", "info", "sales", "dr.kim"]) + rnd.choice(["", digit(2)])
     dom = lambda: rnd.choice(["example", "mail", "corp-net", "uni", "post"])
     tld = lambda: rnd.choice(["com", "org", "net", "de", "co"])
 
-    def luhn(n: int) -> str:
-        body = digit(n - 1)
+    def luhn(n: int, rnd: random.Random = rnd) -> str:
+        body = digit(n - 1, rnd)
         s = sum(int(c) if i % 2 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(body)))
         return body + str(-s % 10)
 
+    def in_run(good: bool) -> tuple[str, str, str]:
+        """(digits before, card, digits after) as they stand in a run of digits; a bad one lacks the check digit or starts or ends within a group."""
+        n, sep = more.choice([16, 16, 16, 17, 18, 19]), more.choice(["", " ", "-"])
+        gap, within = sep or " ", 0 if good else more.choice([0, 1, 2, 3])
+        d = luhn(n, more) if good or within else digit(n, more)
+        shift = more.randint(1, 3) if within else 0
+        groups = [d] if not sep else [x for x in (d[:shift], *(d[i : i + 4] for i in range(shift, n, 4))) if x]
+        left = digit(more.randint(1, 12), more) if within & 1 else more.choice(["", digit(more.choice([1, 2, 4, 16]), more) + gap])
+        right = digit(more.randint(1, 12), more) if within & 2 else more.choice(["", gap + digit(more.choice([1, 2, 4, 16]), more)])
+        return left, sep.join(groups), right
+
     cue = {"email": ["email me: ", "contact ", "write to ", "reach us, "], "ip": ["server at ", "client ip ", "host "], "card": ["card ", "paid by visa ", "credit card no "], "phone": ["call ", "tel. ", "phone: ", "my mobile is ", "fax "], "id": ["ssn ", "iban ", "bank account ", "passport "]}
     off = ["see order ", "invoice ", "version ", "isbn ", "issue ", "page ", "part ", "ticket ", "model ", "ratio "]
     plain = ["the ", "and then ", "it was ", "of this ", "number "]
@@ -138,7 +154,10 @@ def labelled_sample(seed: int = 7) -> list[dict]:
             v = rnd.choice([f"{digit(3)}-{digit(2)}-{digit(4)}", "DE" + digit(20), "GB" + digit(2) + " WEST " + " ".join(digit(4) for _ in range(3))])
             v = v if good else rnd.choice([v, "AB" + digit(14)])
         before = rnd.choice(cue[kind] + plain[: 2 if kind in ("id", "phone") else 5]) if good else rnd.choice(off + (plain if kind != "id" else []))
-        rows.append({"kind": kind, "before": before, "v": v, "y": int(good)})
+        left, after = "", ""
+        if kind == "card" and more.random() < 0.6:
+            left, v, after = in_run(good)
+        rows.append({"kind": kind, "before": before + left, "v": v, "after": after, "y": int(good)})
     return rows
 
 
@@ -154,10 +173,10 @@ def model(spark: SparkSession) -> dict[str, tuple[list, float, dict]]:
 
 def _fitted(spark: SparkSession) -> dict[str, tuple[list, float, dict]]:
     rows = labelled_sample()
-    df = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<kind:string,before:string,v:string,y:int>>")).alias("r")).select("r.*")
+    df = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<kind:string,before:string,v:string,after:string,y:int>>")).alias("r")).select("r.*")
     out = {}
     for kind in KINDS:
-        got = df.where(F.col("kind") == kind).select("y", F.array(*features(F.col("v"), F.col("before"), kind)).alias("x")).collect()
+        got = df.where(F.col("kind") == kind).select("y", F.array(*features(F.col("v"), F.col("before"), F.col("after"), kind)).alias("x")).collect()
         x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got])
         held = np.arange(len(y)) % 3 == 2
         trees = boost.fit(x[~held], y[~held])
@@ -168,14 +187,26 @@ def _fitted(spark: SparkSession) -> dict[str, tuple[list, float, dict]]:
     return out
 
 
-def candidates(text: Column, kind: str, trees: list, cut: float) -> Column:
-    """Generated spans of one kind that the trees select."""
+def candidates(text: Column, kind: str, trees: list, cut: float, base: Column) -> Column:
+    """Generated spans of one kind apart from the base spans that the trees select: struct<z,k,s,e,kind,v>, z the score."""
+    i = KINDS.index(kind)
 
-    def chosen(x: Column) -> Column:
+    def scored(x: Column) -> Column:
         before = F.substring(text, F.greatest(x["s"] - 29, F.lit(1)), F.least(x["s"], F.lit(30)))
-        return boost.expression(trees, features(x["v"], before, kind)) >= F.lit(cut)
+        after = F.substring(text, x["e"] + 1, F.lit(1))
+        z = boost.expression(trees, features(x["v"], before, after, kind))
+        return F.struct(z.alias("z"), F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"), x["v"].alias("v"))
+
+    proposed = F.concat(*[every_match(text, g) for g in GENERATORS[kind]])
+    return F.filter(F.transform(F.filter(proposed, lambda x: apart(x, base)), scored), lambda x: x["z"] >= F.lit(cut))
+
 
-    return F.filter(matches(text, GENERATORS[kind]), chosen)
+def _best(found: Column) -> Column:
+    """Spans that don't overlap, chosen by score; at equal scores the longer, then the earlier, then the kind."""
+    ranked = F.sort_array(F.transform(found, lambda x: F.struct((-x["z"]).alias("z"), (x["s"] - x["e"]).alias("n"), x["s"].alias("s"), x["k"].alias("k"), x.alias("x"))))
+    zero = F.array().cast("array<struct<k:int,s:int,e:int,kind:string,v:string>>")
+    plain = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["v"].alias("v"))
+    return F.sort_array(F.aggregate(ranked, zero, lambda acc, r: F.when(apart(r["x"], acc), F.array_append(acc, plain(r["x"]))).otherwise(acc)))
 
 
 def _tag(spans: Column, i: int) -> Column:
@@ -188,9 +219,8 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(*[_tag(base_spans(text, k), i) for i, k in enumerate(KINDS[:4])])
     out = docs.withColumn("base", base)
-    maybe = F.concat(*[_tag(candidates(text, k, *fitted[k][:2]), i) for i, k in enumerate(KINDS)])
-    first = lambda found: F.filter(found, lambda x: apart(x, F.filter(found, lambda o: (o["s"] < x["s"]) | ((o["s"] == x["s"]) & (o["k"] < x["k"])))))
-    out = out.withColumn("added", F.when(text.rlike(r"[0-9]|\x20dot\x20|[(\[{]dot"), let(F.filter(maybe, lambda x: apart(x, F.col("base"))), first)).otherwise(F.filter(F.col("base"), lambda x: F.lit(False))))
+    maybe = F.concat(*[candidates(text, k, *fitted[k][:2], F.col("base")) for k in KINDS])
+    out = out.withColumn("added", F.when(text.rlike(r"[0-9]|\x20dot\x20|[(\[{]dot"), _best(maybe)).otherwise(F.filter(F.col("base"), lambda x: F.lit(False))))
     return out
 
 

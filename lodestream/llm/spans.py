@@ -31,6 +31,19 @@ def matches(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) == 0, F.array().cast(EMPTY)).otherwise(place(hits)))
 
 
+def every_match(text: Column, pattern: str) -> Column:
+    """array<struct<s,e,v>> of the match at every start, so overlapping ones too, of a pattern without groups that never matches empty."""
+
+    def place(hits: Column) -> Column:
+        # A cut before each start; none is made before the first character.
+        pieces = F.split(text, f"(?={pattern})", -1)
+        ends = let(pieces, lambda p: F.struct(F.aggregate(F.slice(p, 1, F.size(hits)), F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(x))).alias("at"), (F.size(p) - F.size(hits)).alias("skip")))
+        starts = let(ends, lambda x: F.slice(x["at"], x["skip"] + 1, F.size(hits)))
+        return F.zip_with(starts, hits, lambda s, v: F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v")))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)), lambda hits: F.when(F.size(hits) == 0, F.array().cast(EMPTY)).otherwise(place(hits)))
+
+
 def render(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined in the array's order."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm import boost, byte_bpe, decontaminate, jaccard_join, licenses, lines, pii, quality, secrets, substrings, token_files
+from lodestream.llm import boost, byte_bpe, decontaminate, jaccard_join, licenses, lines, pii, quality, secrets, spans, substrings, token_files
 from lodestream.llm.graph import components
 
 DATA = "/root/testdata/sf0.001"
@@ -84,6 +84,26 @@ def test_pii_adds_and_redacts(spark):
     assert out[2] is None and "555" not in out[1] and "a@b.co" not in out[1] and "[EMAIL]" in out[1]
 
 
+def test_pii_takes_what_stands_behind_a_rejected_candidate(spark):
+    want = {
+        "paid 2024 4111 1111 1111 1111 ok": ["4111 1111 1111 1111"],
+        "call room 2024 555 123 4567": ["555 123 4567"],
+        "cards 7536784127813050 4845168114407329 on file": ["7536784127813050", "4845168114407329"],
+        "é😀 credit card 7536784127813050 12": ["7536784127813050"],
+    }
+    d = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    for r in pii.find_pii(d).collect():
+        assert [x.v for x in r.added] == want[r.text] and all(r.text[x.s : x.e] == x.v for x in r.added), (r.text, r.added)
+
+
+def test_every_match(spark):
+    texts = ["1234 5678 9012", "é😀1234", "12", "", "a1234 5b"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (r"[0-9]{2}", r"(?<![0-9])[0-9]{2,4}\x20[0-9]"):
+        for r in d.select("t", spans.every_match(F.col("t"), pattern).alias("m")).collect():
+            assert [(x.s, x.e, x.v) for x in r.m] == [(m.start(), m.start() + len(m[1]), m[1]) for m in re.finditer(f"(?=({pattern}))", r.t)]
+
+
 def test_boosted_trees(spark):
     import numpy as np
 
