@@ -2,9 +2,13 @@
 
 Two first-order Markov models over character classes are trained from labelled
 samples, one of random strings and one of ordinary identifiers and words. A
-token's score is the log-likelihood ratio per character; tokens above the
-threshold that overlap no base span are added as kind ``markov``. The models
-become one literal table, so scoring is built-in functions only.
+token's score is the log-likelihood ratio per character. A run of token
+characters is read as values between equals signs; a value above the threshold
+is taken whole, in others the segments are whose running sum above the
+threshold is greatest, widened to the next / _ or -, so that a secret glued to
+ordinary text is not averaged away. A run above the threshold without any of
+these is taken whole. What overlaps no base span is added as kind ``markov``.
+The models become one literal table, so scoring is built-in functions only.
 
 Defined cases: null and empty texts have no spans; positions are code points,
 end exclusive; columns of the input are kept, names that clash are replaced.
@@ -27,6 +31,11 @@ ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']
 # Runs are maximal, so asking for the length inside the pattern changes no match.
 BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14,}", "hex": r"(?:(?<![0-9a-f])|\G)[0-9a-f]{16,}"}
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+#: What stands between equals signs, with padding.
+VALUE = r"[A-Za-z0-9+/_-]{16,}+=*"
+LEAST_LENGTH = 16
+#: A segment ends where its sum has fallen by this from its peak (nats): about four characters of ordinary text.
+FALL = 8.0
 #: Added spans need this mean log-likelihood ratio (nats a character).
 LEAST_RATIO = 0.5
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -67,16 +76,72 @@ def ratios(n: int = 4000, seed: int = 11) -> list[float]:
     return [tables[0][i][j] - tables[1][i][j] for i in range(m) for j in range(m)]
 
 
+def _pairs(token: Column, table: list[float]) -> Column:
+    """Log-likelihood ratio of each pair of neighbours in an ASCII token over ALPHABET."""
+    m, values = len(ALPHABET), F.from_json(F.lit("[" + ",".join(f"{x:.5f}" for x in table) + "]"), "array<double>")
+    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1)
+    return let(codes, lambda codes: F.transform(F.sequence(F.lit(0), F.size(codes) - 2), lambda i: F.get(values, F.get(codes, i) * m + F.get(codes, i + 1))))
+
+
+def _mean(pairs: Column) -> Column:
+    return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.size(pairs)
+
+
 def log_ratio(token: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio a character, random against ordinary, of an ASCII token over ALPHABET."""
-    m, values = len(ALPHABET), F.from_json(F.lit("[" + ",".join(f"{x:.5f}" for x in table) + "]"), "array<double>")
+    return let(_pairs(token, table), _mean)
 
-    def total(codes: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(codes) - 2), lambda i: F.get(values, F.get(codes, i) * m + F.get(codes, i + 1)))
-        return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (F.size(codes) - 1)
 
-    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1)
-    return let(codes, total)
+def _segments(v: Column, pairs: Column, least: float) -> Column:
+    """array<struct<a,z>> of the random-looking segments of a value, widened to / _ or -, without overlap."""
+    none = F.array().cast("array<struct<a:int,z:int>>")
+    zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("a"), F.lit(0).alias("z"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), none.alias("out"))
+
+    def told(acc: Column) -> Column:
+        return F.when(acc["peak"] > 0, F.array_append(acc["out"], F.struct(acc["a"].alias("a"), acc["z"].alias("z")))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        over = (acc["sum"] <= 0) | (acc["peak"] - acc["sum"] > FALL)
+        total = F.when(over, 0.0).otherwise(acc["sum"]) + x - least
+        peak = F.when(over, 0.0).otherwise(acc["peak"])
+        return F.struct(
+            (acc["k"] + 1).alias("k"),
+            F.when(over, acc["k"]).otherwise(acc["a"]).alias("a"),
+            F.when(total > peak, acc["k"] + 2).otherwise(acc["z"]).alias("z"),
+            total.alias("sum"),
+            F.greatest(total, peak).alias("peak"),
+            F.when(over, told(acc)).otherwise(acc["out"]).alias("out"),
+        )
+
+    def widened(x: Column) -> Column:
+        a = x["a"] - F.length(F.regexp_extract(F.substring(v, F.lit(1), x["a"]), r"[^/_-]*\z", 0))
+        z = x["z"] + F.length(F.regexp_extract(F.substring(v, x["z"] + 1, F.length(v)), r"\A[^/_-]*", 0))
+        return F.struct(a.alias("a"), z.alias("z"), (x["z"] - x["a"]).alias("n"))
+
+    def random_like(x: Column) -> Column:
+        return (x["z"] - x["a"] >= LEAST_LENGTH) & ((x["n"] >= LEAST_LENGTH) | (_mean(F.slice(pairs, x["a"] + 1, x["z"] - x["a"] - 1)) >= least))
+
+    def join(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        fresh = F.struct(x["a"].alias("a"), x["z"].alias("z"))
+        glued = F.struct(F.least(last["a"], x["a"]).alias("a"), F.greatest(last["z"], x["z"]).alias("z"))
+        return F.when((F.size(acc) > 0) & (last["z"] > x["a"]), F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), glued)).otherwise(F.array_append(acc, fresh))
+
+    return F.aggregate(F.filter(F.transform(F.aggregate(pairs, zero, step, told), widened), random_like), none, join)
+
+
+def random_spans(text: Column, base: Column, table: list[float], least: float) -> Column:
+    """array<struct<s,e,v>> of what looks random and overlaps no base span."""
+
+    def within(x: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).alias("a"), F.length(x["v"]).alias("z")))
+        places = let(_pairs(x["v"], table), lambda pairs: F.when(_mean(pairs) >= least, whole).otherwise(_segments(x["v"], pairs, least)))
+        return F.transform(places, lambda p: F.struct((x["s"] + p["a"]).alias("s"), (x["s"] + p["z"]).alias("e"), F.substring(x["v"], p["a"] + 1, p["z"] - p["a"]).alias("v")))
+
+    def runs(parts: Column) -> Column:
+        return F.concat(parts, F.filter(matches(text, TOKEN), lambda x: apart(x, parts) & apart(x, base) & (log_ratio(x["v"], table) >= least)))
+
+    return let(F.filter(F.flatten(F.transform(matches(text, VALUE), within)), lambda x: apart(x, base)), runs)
 
 
 def _tag(spans: Column, i: int) -> Column:
@@ -91,8 +156,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", least: float = LEAST_R
     base = F.concat(*[_tag(found[k], i) for i, k in enumerate(KINDS[:3])])
     table = ratios()
     out = docs.withColumn("base", F.sort_array(base))
-    random_like = lambda x: apart(x, F.col("base")) & (log_ratio(x["v"], table) >= least)
-    return out.withColumn("added", F.sort_array(_tag(F.filter(matches(text, TOKEN), random_like), 3)))
+    return out.withColumn("added", F.sort_array(_tag(random_spans(text, F.col("base"), table, least), 3)))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -143,6 +143,39 @@ def test_markov_held_out(spark):
     assert right > 0.95
 
 
+def test_glued_secrets(spark):
+    import random
+
+    rnd, letters = random.Random(17), secrets.ALPHABET
+    glue = [
+        ("", 62, 24, ""),
+        ("AWS_SECRET_ACCESS_KEY=", 64, 40, ""),
+        ("aws_secret_access_key=", 64, 40, ""),
+        ("private_key_id=", 62, 32, ""),
+        ("client_identifier=", 62, 24, ""),
+        ("/services/production/notification/", 62, 24, ""),
+        ("deploy-production-", 62, 24, "-manager-settings"),
+        ("client_identifier=", 62, 24, "=/services/production/notification/"),
+    ]
+    made = []
+    for g, (left, m, n, right) in enumerate(glue):
+        for _ in range(60):
+            secret = "".join(rnd.choice(letters[:m]) for _ in range(n))
+            made.append((g, len(left), len(left) + n, left + secret + right))
+    two = "".join(rnd.choice(letters[:62]) for _ in range(24)) + "/services/production/notification/" + "".join(rnd.choice(letters[:62]) for _ in range(24))
+    d = spark.createDataFrame([*made, (len(glue), 0, 0, two)], "g int, s int, e int, text string")
+    got = secrets.find_secrets(d).collect()
+    for g, where in enumerate(glue):
+        rows = [r for r in got if r.g == g]
+        full = [any(x.s <= r.s and r.e <= x.e for x in [*r.base, *r.added]) for r in rows]
+        assert sum(full) >= 0.9 * len(rows), (where, sum(full))
+        assert all(r.text[x.s : x.e] == x.v for r in rows for x in r.added)
+    assert [(x.s, x.e) for r in got if r.g == len(glue) for x in r.added] == [(0, 24), (len(two) - 24, len(two))]
+    plain = [(t,) for t in secrets.labelled_samples(500, seed=98)[1]]
+    paths = [("/".join(rnd.choice(secrets.WORDS) for _ in range(12)),) for _ in range(300)]
+    assert secrets.find_secrets(spark.createDataFrame(plain + paths, "text string")).where("size(added) > 0").count() <= 8
+
+
 # 2 ---------------------------------------------------------------------
 
 
