@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import mix
 from .shared import cut
 
 
@@ -67,28 +68,35 @@ def shared_lists(entries: DataFrame, smallest_first: bool = False) -> DataFrame:
     return e.repartition("token").sortWithinPartitions(*by).mapInArrow(_runs, "token long, node long, size long, leader long, leader_size long")
 
 
-def _unpacked(batches):
-    """Lists of two different nodes or more, from packed entries; a part's rows are together."""
-    held: dict[int, list] = {}
-    for b in batches:
-        for p, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            held.setdefault(p, []).append([np.frombuffer(v, np.int64) for v in x])
-    for p in list(held):
-        token, node = (np.concatenate(v) for v in zip(*held.pop(p), strict=True))
-        o = np.lexsort((node, token))
-        token, node = token[o], node[o]
-        same = np.r_[False, (token[1:] == token[:-1]) & (node[1:] == node[:-1])]
-        token, node = token[~same], node[~same]
-        new = np.r_[True, token[1:] != token[:-1]]
-        i = np.flatnonzero(~new | np.r_[~new[1:], False])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))[i]
-        zero = pa.array(np.zeros(len(i), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(token[i]), pa.array(node[i]), zero, pa.array(node[lead]), zero], names=["token", "node", "size", "leader", "leader_size"])
-
-
-def packed_lists(entries: DataFrame) -> DataFrame:
-    """As shared_lists, of entries packed as (part, token, node) with arrays of 64-bit values; sizes are 0."""
-    return entries.repartition("part").mapInArrow(_unpacked, "token long, node long, size long, leader long, leader_size long")
+def _unpacked(least: float):
+    def run(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for p, t, n, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.setdefault(p, []).append([np.frombuffer(t, np.int64), np.frombuffer(n, np.int64), np.frombuffer(z, np.int32)])
+        for p in list(held):
+            token, node, size = (np.concatenate(v) for v in zip(*held.pop(p), strict=True))
+            o = np.lexsort((node, size, token))
+            token, node, size = token[o], node[o], size[o].astype(np.int64)
+            same = np.r_[False, (token[1:] == token[:-1]) & (node[1:] == node[:-1])]
+            token, node, size = token[~same], node[~same], size[~same]
+            new = np.r_[True, (token[1:] != token[:-1]) | (size[:-1] < least * size[1:] - 1e-9)]
+            i = np.flatnonzero(~new | np.r_[~new[1:], False])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))[i]
+            token = mix(token.view(np.uint64) + size[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))].astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[i], node[i], size[i], node[lead], size[lead])], names=["token", "node", "size", "leader", "leader_size"])
+
+    return run
+
+
+def packed_lists(entries: DataFrame, least: float) -> DataFrame:
+    """As shared_lists, of entries packed as (part, token, node, size): arrays of 64-bit values, and of 32-bit ones for size.
+
+    Members link only where the smaller size is at least ``least`` of the
+    larger, so a list is cut where the next size is further away than that; a
+    list's token then also depends on its first size.
+    """
+    return entries.repartition("part").mapInArrow(_unpacked(least), "token long, node long, size long, leader long, leader_size long")
 
 
 def _pair(x: str, y: str) -> list:

@@ -379,6 +379,35 @@ def test_substrings(docs, rows, nothing):
 # 9 ---------------------------------------------------------------------
 
 
+def test_short_line_edits(spark):
+    import random
+
+    def similar(x, y):
+        x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (x, y))
+        return len(x & y) / len(x | y)
+
+    rnd, made = random.Random(9), []
+    for k in range(400):
+        letters = "abcdefghijklmnopqrstuvwxyz" if k % 2 else "aeioéèüñçößабвгд日本"
+        word = lambda n, letters=letters: "".join(rnd.choice(letters) for _ in range(n))
+        w = [word(rnd.randint(3, 8)) for _ in range(9)]
+        x = " ".join(w)[: rnd.randint(30, 80)].strip()
+        if k % 3:
+            i = rnd.randrange(len(x))
+            y = x[:i] + ("X" if x[i] != "X" else "Y") + x[i + 1 :]
+        else:
+            parts = x.split(" ")
+            parts[rnd.randrange(len(parts))] = word(4)
+            y = " ".join(parts)
+        made.append((x, y))
+    d = spark.createDataFrame([(2 * k + i, t) for k, two in enumerate(made) for i, t in enumerate(two)], "doc_id long, text string")
+    gone = {r.doc_id for r in lines.dedup_lines(d).where("n_removed > 0").collect()}
+    alike = {2 * k + 1 for k, (x, y) in enumerate(made) if similar(x, y) >= 0.8 - 1e-9}
+    old = [k for k in alike if len(made[k // 2][0]) < 79]
+    assert len(old) > 100 and gone <= alike
+    assert len(alike - gone) <= 0.03 * len(alike)
+
+
 def test_lines(docs, rows, nothing):
     at = defaultdict(list)
     for i, t in rows:
