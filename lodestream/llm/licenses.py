@@ -94,7 +94,7 @@ class Scanner:
         return sorted((i, len(w), label) for w, label in self.exact for i in at.get(w[0], ()) if words[i : i + len(w)] == w)
 
     def spans(self, low: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) of each fuzzy notice; for one notice, from left to right without overlap."""
+        """(start, end, label, edits) of each fuzzy notice; for one notice, without overlap."""
         regions: dict[int, list[list[int]]] = {}
         for end, (length, where) in self.auto.iter(low):
             for i, at in where:
@@ -109,10 +109,19 @@ class Scanner:
         out = []
         for i, found in regions.items():
             for lo, hi in found:
-                for m in self.fuzzy[i].finditer(low, lo, hi):
-                    out.append((m.start(), m.end(), self.notices[i].label, sum(m.fuzzy_counts)))
+                out += self.best_first(low, lo, hi, i)
         return sorted(out)
 
+    def best_first(self, low: str, lo: int, hi: int, i: int) -> list[tuple[int, int, str, int]]:
+        """Places of one notice in a region: the best, then those in what is left before and behind it."""
+        n, out, parts = self.notices[i], [], [(lo, hi)]
+        while parts:
+            lo, hi = parts.pop()
+            if hi - lo >= len(n.text) - n.errors and (m := self.fuzzy[i].search(low, lo, hi)):
+                out.append((m.start(), m.end(), n.label, sum(m.fuzzy_counts)))
+                parts += [(lo, m.start()), (m.end(), hi)]
+        return out
+
 
 def _lower(t: str) -> str:
     return t.lower() if t.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), t)

@@ -357,6 +357,27 @@ def test_seeds_find_every_edit():
             assert any(x[2] == n.label for x in scan.spans("some words " + "".join(t) + " and more"))
 
 
+def test_adjacent_notices():
+    import random
+
+    rnd, scan = random.Random(6), licenses.Scanner()
+    assert scan.spans("all rights reservd all rights reserved") == [(0, 18, "reserved", 1), (19, 38, "reserved", 0)]
+    for n in licenses.NOTICES:
+        lines_of = []
+        for k in range(12):
+            t = list(n.text)
+            for j in rnd.sample(range(2, len(t) - 2), k % (n.errors + 1)):
+                t[j] = "~"
+            lines_of.append("".join(t))
+        rnd.shuffle(lines_of)
+        text, at = "\n".join(lines_of), 0
+        got = scan.spans(text)
+        for t in lines_of:
+            mine = [x for x in got if x[2] == n.label and at - n.errors <= x[0] < x[1] <= at + len(t) + n.errors]
+            assert len(mine) == 1 and mine[0][3] == t.count("~"), (n, t, mine)
+            at += len(t) + 1
+
+
 # 8 ---------------------------------------------------------------------
 
 
