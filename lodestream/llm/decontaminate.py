@@ -17,7 +17,8 @@ Retrieved pairs are verified on the words: share of the question's distinct
 has no answer column, the last quarter of an item's words is its answer.
 
 Items are indexed in blocks of bounded number, so what a task holds doesn't
-follow the benchmark; each block is one scan of the documents.
+follow the benchmark; each block is one scan of the documents. Document
+frequencies and the mean length are those of all items.
 
 Defined cases: null and empty texts hold nothing; null or empty items are
 found nowhere; an item of fewer than five question words is one shingle.
@@ -35,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import small_batches
+from .shared import cut, small_batches
 
 K1, B = 1.2, 0.75
-#: Share of an item's own score that a passage needs to be verified. What passes verification holds nearly
-#: all of an item's words, so it scores well above this.
+#: Share of an item's own score that a passage needs to be verified; less for an item of which a passage that
+#: scores less can pass verification.
 RETRIEVE = 0.7
 QUESTION, ANSWER = 0.8, 0.8
 SHINGLE = 5
@@ -56,22 +57,48 @@ def shingles(w: list[str]) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} or ({tuple(w)} if w else set())
 
 
+def parts(text: str | None, answer: str | None) -> tuple[list[str], list[str]]:
+    """Words of an item's question and of its answer."""
+    w = words(text)
+    cut = len(w) - len(w) // 4
+    return (w, words(answer)) if answer is not None else (w[:cut], w[cut:])
+
+
+def least_share(question: list[str], answer: set[str], weight: dict[str, float]) -> float:
+    """A share of an item's own score that every passage which passes verification reaches.
+
+    Beside a shingle that is held, each missing word in front of it starts a
+    missing shingle and each behind it ends one, so no more words are missing
+    than places of shingles; the heaviest may be.
+    """
+    held = shingles(question)
+    places = max(1, len(question) - SHINGLE + 1)
+    out = places - math.ceil(QUESTION * len(held) - 1e-9) if len(question) >= SHINGLE else 0
+    gone = sum(sorted((weight[x] for x in set(question)), reverse=True)[:out])
+    gone += sum(sorted((weight[x] for x in answer), reverse=True)[: len(answer) - math.ceil(ANSWER * len(answer) - 1e-9)])
+    return max(sum(weight.values()) - gone, min(weight.values())) / sum(weight.values())
+
+
 class Index:
-    """Inverted index of items with block maxima; scores are shares of an item's own score."""
+    """Inverted index of items with block maxima; scores are shares of an item's own score.
+
+    ``stats`` are the number of items, their mean length and the document
+    frequencies where these are not all items. Postings are scaled by an
+    item, so that one threshold stands for the item's own; found scores aren't.
+    """
 
-    def __init__(self, items: list[tuple[int, str, str | None]], threshold: float = RETRIEVE):
+    def __init__(self, items: list[tuple[int, str, str | None]], threshold: float = RETRIEVE, stats: tuple[int, float, dict[str, int]] | None = None):
         self.threshold = threshold
-        self.ids, self.question, self.answer, every = [], [], [], []
+        self.ids, self.question, self.answer, every, asked = [], [], [], [], []
         for i, text, answer in items:
-            w = words(text)
-            if not w:
+            if not words(text):
                 continue
-            cut = len(w) - len(w) // 4
-            q, a = (w, words(answer)) if answer is not None else (w[:cut], w[cut:])
+            q, a = parts(text, answer)
             self.ids.append(i)
             self.question.append(shingles(q))
             self.answer.append(set(a))
-            every.append(w if answer is None else w + words(answer))
+            asked.append(q)
+            every.append(q + a)
         n, mean = len(every), sum(map(len, every)) / max(1, len(every))
         self.longest = max(map(len, every), default=0)
         tf = [defaultdict(int) for _ in every]
@@ -81,13 +108,18 @@ class Index:
                 tf[i][x] += 1
             for x in tf[i]:
                 df[x] += 1
+        total = n
+        if stats is not None:
+            total, mean, df = stats
+        self.scale = []
         posts: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, counts in enumerate(tf):
             norm = K1 * (1 - B + B * len(every[i]) / mean)
-            weight = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * (K1 + 1) / (c + norm) for x, c in counts.items()}
+            weight = {x: math.log(1 + (total - df[x] + 0.5) / (df[x] + 0.5)) * c * (K1 + 1) / (c + norm) for x, c in counts.items()}
             own = sum(weight.values())
+            self.scale.append(threshold / min(threshold, least_share(asked[i], self.answer[i], weight)))
             for x, v in weight.items():
-                posts[x].append((i, v / own))
+                posts[x].append((i, v / own * self.scale[i]))
         self.terms = sorted(posts)
         self.posts = [posts[x] for x in self.terms]
         self.best = np.array([max(v for _, v in p) for p in self.posts], dtype=np.float64)
@@ -155,7 +187,7 @@ class Index:
             elif self.posts[live[0]][at[live[0]]][0] == item:
                 score = sum(self.posts[t][at[t]][1] for t in live[: pivot + 1])
                 if score >= need:
-                    out.append((item, score))
+                    out.append((item, score / self.scale[item]))
                 target, moved = item + 1, live[: pivot + 1]
             else:
                 target, moved = item, live[:pivot]
@@ -230,16 +262,35 @@ def _hits(index: Index):
     return run
 
 
+def _item_words(batches):
+    """(scan, word) of each distinct word of an item, and one row with its number of words."""
+    for b in batches:
+        rows = []
+        for scan, text, answer in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if words(text):
+                w = [x for p in parts(text, answer) for x in p]
+                rows += [(scan, x, 0) for x in set(w)] + [(scan, None, len(w))]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.string(), pa.int64()], strict=True)], names=["scan", "word", "length"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every test item found in a document, at its best passage."""
     small_batches(docs.sparkSession, 200)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a"))
     scans = max(1, -(-items.count() // ITEMS_A_SCAN))
-    out = None
+    items = items.withColumn("scan", F.pmod(F.xxhash64("i", "t"), F.lit(scans)).cast("int"))
+    out = stats = None
+    if scans > 1:
+        terms = cut(items.select("scan", "t", "a").mapInArrow(_item_words, "scan int, word string, length long"))
+        n, mean = terms.where("word is null").agg(F.count(F.lit(1)), F.avg("length")).first()
+        df = cut(terms.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.collect_set("scan").alias("scans")))
     for k in range(scans):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(scans)) == k).orderBy("i", "t").collect()
-        found = docs.mapInArrow(_hits(Index([tuple(r) for r in block])), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        block = items.where(F.col("scan") == k).select("i", "t", "a").orderBy("i", "t").collect()
+        if scans > 1:
+            stats = n, mean or 1.0, {r.word: r.df for r in df.where(F.array_contains("scans", F.lit(k))).select("word", "df").collect()}
+        found = docs.mapInArrow(_hits(Index([tuple(r) for r in block], stats=stats)), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.union(found)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")

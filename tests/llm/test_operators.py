@@ -237,6 +237,27 @@ def test_wand_is_exact(spark, rows):
     assert found
 
 
+def test_blocks_of_items_share_their_statistics(spark, monkeypatch):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    docs = items.selectExpr("item_id as doc_id", "substring_index(text, ' ', -(size(split(text, ' ')) - 1)) as text")
+    seen = lambda: {(r.doc_id, r.item_id): (round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontaminate.leaks(docs, items).collect()}
+    whole = seen()
+    monkeypatch.setattr(decontaminate, "ITEMS_A_SCAN", -(-items.count() // 3))
+    assert seen() == whole and whole
+
+
+def test_what_passes_verification_is_retrieved():
+    common = [f"c{i}" for i in range(60)]
+    many = [(i, " ".join(common[(i * 7 + j) % 60] for j in range(24)), None) for i in range(200)]
+    rare = ["zz1", "zz2", "zz3", *common[:15], "zz4", "zz5", *common[30:34]]
+    index = decontaminate.Index([*many, (999, " ".join(rare), None)])
+    j, at = index.ids.index(999), {t: i for i, t in enumerate(index.terms)}
+    held = [x for x in rare[2:] if x != "zz4"]
+    assert len(index.question[j] & decontaminate.shingles(rare[2:18])) >= 0.8 * len(index.question[j])
+    assert len(index.answer[j] & set(held)) >= 0.8 * len(index.answer[j])
+    assert 0.6 < dict(index.search(sorted({at[x] for x in held})))[j] < decontaminate.RETRIEVE
+
+
 # 5 and 10 --------------------------------------------------------------
 
 
