@@ -42,8 +42,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Drops the documents that hold an item: rows with an id by the id, rows with a null id each by its text (64-bit hash)."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null").withColumn("_key", F.xxhash64("text"))
+    found = decontaminate.leaks(named, items).select("doc_id").distinct()
+    hashes = decontaminate.leaks(nameless, items, id_col="_key").select(F.col("doc_id").alias("_key")).distinct()
+    return named.join(found, "doc_id", "left_anti").select(*docs.columns).unionByName(nameless.join(hashes, "_key", "left_anti").select(*docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,6 +258,17 @@ def test_what_passes_verification_is_retrieved():
     assert 0.6 < dict(index.search(sorted({at[x] for x in held})))[j] < decontaminate.RETRIEVE
 
 
+def test_decontamination_stage_drops_nameless_rows(docs, spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    clean = "nothing of the kind stands in here"
+    rows = [(None, item), (None, clean), (None, None), (1, item), (2, clean), (2, clean), (3, None)]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.benchmark_decontamination(spark, d, DATA).collect())
+    assert got == Counter(rows[1:3] + rows[4:])
+
+
 # 5 and 10 --------------------------------------------------------------
 
 
