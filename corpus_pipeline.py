@@ -64,7 +64,7 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: SQL can't express the stages; tests/llm holds each against a brute-force version.
+#: SQL can't express the stages. tests/llm holds the operators against brute-force versions; of the stages only decontamination's null ids are tested, and the pipeline as a whole is not.
 ORACLE_SQL = None
 
 
