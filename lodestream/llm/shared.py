@@ -1,4 +1,7 @@
-"""Helpers the operators share: cutting lineage, small Arrow batches, let-binding."""
+"""Helpers the operators share: cutting lineage, bounded broadcasts, let-binding.
+
+Arrow batches are bounded by bytes, by the session's own default (64 MB).
+"""
 
 from __future__ import annotations
 
@@ -8,11 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a few longs that are broadcast; beyond that the same join is shuffled.
+BROADCAST_ROWS = 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and the master is local, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = getattr(spark, "_lodestream_dir", None)
         if named is None:
             named = spark._lodestream_dir = "file://" + tempfile.mkdtemp(prefix="lodestream-")
@@ -27,9 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows in one Arrow batch, so that long texts don't pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, by Hadoop's file system for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df (with lineage cut), marked for broadcast if it has at most BROADCAST_ROWS rows; beyond, joins shuffle it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def let(value: Column, body) -> Column:

@@ -284,18 +284,45 @@ def coder(vocabulary):
     return tiktoken.Encoding("own", pat_str=vocabulary.pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
 
 
-def test_token_files(spark, docs, rows, vocabulary, coder, tmp_path):
-    got = {r.doc_id: r.n_tokens for r in token_files.document_counts(docs.select("doc_id", "text").repartition(3), vocabulary).collect()}
-    assert got == {i: len(coder.encode_ordinary(t or "")) for i, t in rows}
-    sep = token_files.SEPARATOR
+def test_token_files(spark, docs, rows, vocabulary, coder):
+    want = Counter((i, len(coder.encode_ordinary(t or ""))) for i, t in rows)
+    for d in (docs.select("doc_id", "text"), docs.select("doc_id", "text").repartition(3)):
+        assert Counter((r.doc_id, r.n_tokens) for r in token_files.document_counts(d, vocabulary).collect()) == want
+
+
+def test_token_files_of_many_documents(spark, vocabulary, tmp_path):
+    n = 3 * token_files.DOCS_A_FILE + 7
+    odd = [(None, "x"), (None, "x"), (-5, None), ((1 << 63) - 1, ""), (-(1 << 63), "hello"), (1, "c"), (1, "c d")]
+    d = spark.range(0, n, 1, 1).selectExpr("id as doc_id", "repeat(' a', cast(id % 5 as int)) as text").union(spark.createDataFrame(odd, "doc_id long, text string").coalesce(1))
+    d.coalesce(1).write.parquet(f"{tmp_path}/scan")
+    got = Counter((r.doc_id, r.n_tokens) for r in token_files.document_counts(spark.read.parquet(f"{tmp_path}/scan"), vocabulary).collect())
+    assert got == Counter([(i, i % 5) for i in range(n)] + [(None, 1), (None, 1), (-5, 0), ((1 << 63) - 1, 0), (-(1 << 63), 1), (1, 1), (1, 2)])
+
+
+@pytest.mark.parametrize("block", [3, 16, 1 << 20])
+@pytest.mark.parametrize("ranged", [True, False])
+def test_token_files_stitch_blocks(spark, tmp_path, monkeypatch, block, ranged):
     import numpy as np
 
-    long = 3 * token_files.BLOCK_TOKENS + 5
-    flat = [7] * long + [sep, sep] + [1, 2, sep] + [9] * 4
-    (tmp_path / "part-0").write_bytes(np.array(flat, "<u2").tobytes())
-    (tmp_path / "part-1").write_bytes(b"")
-    out = token_files.count_tokens(spark, str(tmp_path)).orderBy("place").collect()
-    assert [(r.place, r.start, r.n_tokens, r.ended) for r in out] == [(0, 0, long, True), (1, long + 1, 0, True), (2, long + 2, 2, True), (3, long + 5, 4, False)]
+    if not ranged:
+        monkeypatch.setattr(token_files, "RANGED", ())
+    sep, rnd, want = token_files.SEPARATOR, np.random.default_rng(4), {}
+    # names as Spark gives them, one with a part of its UUID that looks like a file number
+    names = [f"part-0000{k}-6341e43{k}-719a-4fb2-8e6b-c9e6d85be8d0-c000.txt" for k in range(5)]
+    for name, n in zip(names, [0, 1, 7, 400, 1500], strict=True):
+        ids = rnd.integers(0, 100, n).astype("<u2")
+        ids[rnd.random(n) < 0.15] = sep
+        (tmp_path / name).write_bytes(ids.tobytes() + b"x" * (n == 7))
+        start, found = 0, []
+        for i, x in enumerate(ids.tolist()):
+            if x == sep:
+                found.append((len(found), start, i - start, True, ids[start : start + 3].tolist()))
+                start = i + 1
+        want[name] = found + ([(len(found), start, n - start, False, ids[start : start + 3].tolist())] if start < n else [])
+    got = {name: [] for name in names}
+    for r in token_files.count_tokens(spark, f"file://{tmp_path}", head=3, block_tokens=block).collect():
+        got[r.path.rpartition("/")[2]].append((r.place, r.start, r.n_tokens, r.ended, list(r.head)))
+    assert {k: sorted(v) for k, v in got.items()} == want
 
 
 HARD = ["", "\n\n  \t x", "a" * 400, "=" * 130 + " ab" * 3, "don't we'll I'M x's", "日本語のテキスト" * 20, "  　x y z", "\x00\x01ÿ", "<|endoftext|>", "abcabcabc" * 40, " " * 100 + "x", "aaabbbaaabbb" * 12, "1234567890" * 12, "ñ" * 90]
