@@ -17,7 +17,7 @@ from .config import Config
 from .plans.planfront import Translator
 from .session import session
 from .sources.catalog import register, table
-from .sources.sinks import print_rows
+from .sources.sinks import assert_result, expected, golden, print_rows
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -27,6 +27,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--config", help="JSON configuration, instead of --data")
     p.add_argument("--runs", type=int, default=1)
     p.add_argument("--master", default=None)
+    p.add_argument("--golden", help="file to write the result to as expected values")
+    p.add_argument("--expect", help="file of expected values that the result must equal")
     a = p.parse_args(argv)
     config = Config.read(Path(a.config).read_text()) if a.config else Config(dataset_path=a.data or ".")
     spark = session(a.master, **{k.replace(".", "__"): v for k, v in config.spark().items()})
@@ -40,6 +42,11 @@ def main(argv: list[str] | None = None) -> int:
             return Translator(lambda t: table(spark, f"{data}/{t}.parquet")).plan(json.loads(Path(a.query).read_text()))
         return plans.QUERIES[a.query](spark, data)
 
+    if a.golden:
+        Path(a.golden).write_text(golden(run()))
+    if a.expect:
+        df = run()
+        assert_result(df, expected(Path(a.expect).read_text(), df))
     print("run,rows,seconds", file=sys.stderr)
     for k in range(a.runs):
         began = time.perf_counter()

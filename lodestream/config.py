@@ -10,8 +10,8 @@ from .sources.ingest import object_store
 
 @dataclass(frozen=True)
 class Config:
-    """Keys of the file. Limits of a hand-written IO scheduler (epochs, retriever shares and the like) are
-    accepted and ignored: Spark and its file systems schedule IO."""
+    """Keys of the file. The limits of an IO scheduler (from max_network_bandwidth_gb on) are checked and have no
+    effect: Spark and its file systems schedule IO."""
 
     dataset_path: str
     is_remote: bool = False
@@ -19,19 +19,34 @@ class Config:
     access_key: str = ""
     secret_key: str = ""
     use_ssl: bool = True
-    blockpool_size_gb: float = 0
+    blockpool_size_gb: float | None = None
+    max_network_bandwidth_gb: float | None = None
+    max_prepared_mb: float | None = None
+    max_retriever_proportion: float | None = None
+    epoch_duration_ms: float | None = None
+    warm_up_time_ms: float | None = None
+    damping_factor: float | None = None
+    ema_alpha: float | None = None
+    reassignment_threshold: float | None = None
 
     @staticmethod
     def read(text: str) -> Config:
+        try:
+            given = json.loads(text)
+        except json.JSONDecodeError as e:
+            raise ValueError(f"the configuration is not JSON: {e}") from e
         known = {f.name for f in fields(Config)}
-        given = json.loads(text)
         if "dataset_path" not in given:
             raise ValueError("dataset_path is missing")
         c = Config(**{k: v for k, v in given.items() if k in known})
         if c.is_remote and not (c.provider_uri and c.access_key and c.secret_key):
             raise ValueError("a remote dataset needs provider_uri, access_key and secret_key")
-        if c.blockpool_size_gb < 0:
-            raise ValueError("blockpool_size_gb is negative")
+        for name in ("blockpool_size_gb", "max_network_bandwidth_gb", "max_prepared_mb", "epoch_duration_ms", "warm_up_time_ms"):
+            if (v := getattr(c, name)) is not None and v <= 0:
+                raise ValueError(f"{name} must be above 0")
+        for name in ("max_retriever_proportion", "damping_factor", "ema_alpha", "reassignment_threshold"):
+            if (v := getattr(c, name)) is not None and not 0 <= v <= 1:
+                raise ValueError(f"{name} must be from 0 to 1")
         return c
 
     def bucket(self) -> tuple[str, str]:
@@ -45,7 +60,7 @@ class Config:
     def spark(self) -> dict[str, str]:
         out = object_store(self.bucket()[0], self.access_key, self.secret_key, self.use_ssl) if self.is_remote else {}
         if self.blockpool_size_gb:
-            out["spark.driver.memory"] = f"{int(self.blockpool_size_gb * 1024)}m"
+            out["spark.executor.memory"] = f"{int(self.blockpool_size_gb * 1024)}m"
         return out
 
     def __repr__(self) -> str:

@@ -24,7 +24,7 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "any": F.any_value,
     "approx_distinct": F.approx_count_distinct,
 }
-JOINS = {"inner": "inner", "leftsemi": "left_semi", "leftouter": "left_outer", "leftanti": "left_anti"}
+JOINS = {"inner": "inner", "leftsemi": "left_semi", "leftouter": "left_outer", "leftanti": "left_anti", "rightouter": "right_outer", "fullouter": "full_outer"}
 
 
 def selection(predicate: Column | str) -> Step:
@@ -68,11 +68,26 @@ def distinct(*columns: str) -> Step:
     return lambda df: df.select(*columns).distinct() if columns else df.distinct()
 
 
-def sort(*keys: tuple[str, bool]) -> Step:
-    """keys are (column, descending)."""
-    return lambda df: df.orderBy(*[F.desc(k) if down else F.asc(k) for k, down in keys])
+def _order(column: str, descending: bool = False, nulls_first: bool | None = None) -> Column:
+    """A sort key; where nulls go is Spark's default (first ascending, last descending) unless said."""
+    c = F.col(column)
+    if nulls_first is None:
+        return c.desc() if descending else c.asc()
+    if descending:
+        return c.desc_nulls_first() if nulls_first else c.desc_nulls_last()
+    return c.asc_nulls_first() if nulls_first else c.asc_nulls_last()
 
 
-def top_k(k: int, *keys: tuple[str, bool]) -> Step:
-    """First k rows of the order; runs as a bounded heap in each task."""
-    return lambda df: df.transform(sort(*keys)).limit(k)
+def sort(*keys: tuple) -> Step:
+    """keys are (column, descending) or (column, descending, nulls first)."""
+    return lambda df: df.orderBy(*[_order(*k) for k in keys])
+
+
+def limit(k: int, offset: int = 0) -> Step:
+    """k rows after the first ``offset``, in the order that the input has."""
+    return lambda df: df.offset(offset).limit(k) if offset else df.limit(k)
+
+
+def top_k(k: int, *keys: tuple, offset: int = 0) -> Step:
+    """First k rows of the order, after ``offset``; runs as a bounded heap in each task."""
+    return lambda df: df.transform(sort(*keys)).transform(limit(k, offset))

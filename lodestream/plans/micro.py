@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import case, exact_sum, in_tuples, money, simple_case
 from ..operators import relational as R
 from ..sources.catalog import table
+from ..sources.ingest import chunk_metadata
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -217,6 +218,42 @@ def rename(t):
     return t.transform(R.rename({"n_name": "name", "n_regionkey": "region"})).select("name", "region")
 
 
-@_q("lineitem", None)
+@_q("lineitem", "select l_returnflag, true as within from lineitem group by l_returnflag")
 def approx_distinct(t):
-    return t.transform(R.aggregate(["l_returnflag"], n=("approx_distinct", c("l_orderkey"))))
+    """The estimate is within a tenth of the exact count (its standard error is a twentieth)."""
+    both = t.transform(R.aggregate(["l_returnflag"], n=("approx_distinct", c("l_orderkey")), exact=("count_distinct", c("l_orderkey"))))
+    return both.select("l_returnflag", (F.abs(c("n") - c("exact")) <= 0.1 * c("exact")).alias("within"))
+
+
+@_q("orders", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10 offset 30")
+def limit_offset(t):
+    return t.transform(R.top_k(10, ("o_totalprice", True), ("o_orderkey", False), offset=30)).select("o_orderkey", "o_totalprice")
+
+
+@_q("part", "select p_partkey, case when p_size > 25 then p_size end as big from part order by big asc nulls last, p_partkey limit 40")
+def nulls_last(t):
+    return t.select("p_partkey", F.when(c("p_size") > 25, c("p_size")).alias("big")).transform(R.top_k(40, ("big", False, False), ("p_partkey", False)))
+
+
+@_q("part", "select p_partkey, case when p_size > 2 then p_size end as big from part order by big desc nulls first, p_partkey desc limit 40")
+def nulls_first(t):
+    return t.select("p_partkey", F.when(c("p_size") > 2, c("p_size")).alias("big")).transform(R.top_k(40, ("big", True, True), ("p_partkey", True)))
+
+
+@_q("supplier customer", "select s_suppkey, c_custkey from supplier right join customer on c_custkey = s_suppkey and s_acctbal > 0")
+def join_right_outer(s, cu):
+    return s.transform(R.join(cu, (cu.c_custkey == s.s_suppkey) & (s.s_acctbal > 0), "rightouter")).select("s_suppkey", "c_custkey")
+
+
+@_q("supplier customer", "select s_suppkey, c_custkey from supplier full join customer on c_custkey = s_suppkey + 5 and c_acctbal > s_acctbal")
+def join_full_outer(s, cu):
+    return s.transform(R.join(cu, (cu.c_custkey == s.s_suppkey + 5) & (cu.c_acctbal > s.s_acctbal), "fullouter")).select("s_suppkey", "c_custkey")
+
+
+def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each file of a table by its footer."""
+    return chunk_metadata(spark, f"{sf_dir}/orders.parquet").select("object_key", "num_rows")
+
+
+QUERIES["chunk_rows"] = chunk_rows
+ORACLE_SQL["chunk_rows"] = "select 'orders.parquet' as object_key, count(*) as num_rows from orders"

@@ -62,6 +62,35 @@ def byte_to_char(code: Column) -> Column:
     return F.chr(code.cast("long"))
 
 
+def read_metadata(text: str) -> tuple[str, list[dict]]:
+    """(table name, chunks) of a metadata file {"table_name", "row_groups": [{"id", "object_key", "compressed_size", "uncompressed_size", "num_rows"}]}.
+
+    Older files name the table under "object_key". A chunk that lacks a value is an error.
+    """
+    found = json.loads(text)
+    if "row_groups" not in found:
+        raise ValueError("metadata has no row_groups")
+    for group in found["row_groups"]:
+        if missing := {"id", "object_key", "compressed_size", "uncompressed_size", "num_rows"} - set(group):
+            raise ValueError(f"a chunk lacks {', '.join(sorted(missing))}")
+    return found.get("table_name", found.get("object_key", "")), found["row_groups"]
+
+
+def table_by_metadata(spark: SparkSession, home: str, metadata_path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The table whose chunks a metadata file names, each under home; only they are read."""
+    name, chunks = read_metadata(_whole(spark, metadata_path))
+    if not chunks and schema is None:
+        raise ValueError(f"{name} has no chunks and no schema is given")
+    if not chunks:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false")
+    return (reader.schema(schema) if schema else reader).parquet(*[f"{home.rstrip('/')}/{c['object_key']}" for c in chunks])
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def total_rows(spark: SparkSession, metadata_path: str) -> int:
-    """Row count by a table's metadata file (list of chunks with num_rows)."""
-    return spark.read.json(metadata_path, multiLine=True).agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0]
+    """Row count by a table's metadata file."""
+    return sum(c["num_rows"] for c in read_metadata(_whole(spark, metadata_path))[1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import math
 from collections.abc import Sequence
 
@@ -53,3 +54,15 @@ def assert_result(df: DataFrame, expected: dict[str, Sequence], tolerance: float
         for name, a, b in zip(names, r, w, strict=True):
             if not _same(a, b, tolerance):
                 raise AssertionError(f"row {i}, {name}: expected {b!r}, got {a!r}")
+
+
+def golden(df: DataFrame) -> str:
+    """The result as expected values for assert_result: JSON of column names with their values as text, in row order."""
+    rows = df.collect()
+    return json.dumps({c: [None if r[i] is None else str(r[i]) for r in rows] for i, c in enumerate(df.columns)}, indent=1)
+
+
+def expected(text: str, df: DataFrame) -> dict[str, list]:
+    """Values of golden() text, doubles as numbers by the types of df."""
+    kinds = dict(df.dtypes)
+    return {c: [float(v) if v is not None and kinds[c] in ("double", "float") else v for v in values] for c, values in json.loads(text).items()}

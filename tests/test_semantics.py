@@ -2,6 +2,7 @@
 
 import datetime
 import json
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,13 +97,29 @@ def test_ingest(spark, tmp_path):
     df = ingest.read_tbl(spark, str(tmp_path / "t.tbl"), schema)
     assert collect(df) == [(1, "one", 2.5, datetime.date(1996, 3, 5)), (2, "two", None, datetime.date(1997, 1, 1))]
     assert ingest.read_tbl(spark, str(tmp_path / "t.tbl"), schema, ["b"]).columns == ["b"]
-    ingest.write_chunks(df.coalesce(1), str(tmp_path / "out"), 1, "snappy")
-    meta = json.loads(ingest.metadata_json(ingest.chunk_metadata(spark, str(tmp_path / "out"))))
-    assert len(meta) == 2 and sum(m["num_rows"] for m in meta) == 2
-    (tmp_path / "m.json").write_text(json.dumps(meta))
-    assert catalog.total_rows(spark, str(tmp_path / "m.json")) == 2
+    home = f"file://{tmp_path}/out"
+    ingest.write_table(df.coalesce(1), home, "t", 1, "snappy")
+    name, chunks = catalog.read_metadata((tmp_path / "out/t_metadata.json").read_text())
+    assert name == "t" and [c["id"] for c in chunks] == [0, 1] and [c["num_rows"] for c in chunks] == [1, 1]
+    assert all(c["compressed_size"] > 0 and c["uncompressed_size"] > 0 for c in chunks)
+    assert catalog.total_rows(spark, f"{home}/t_metadata.json") == 2
+    assert catalog.read_schemas((tmp_path / "out/t_schema.json").read_text())["t"] == schema
+    assert collect(catalog.table_by_metadata(spark, f"{home}/t", f"{home}/t_metadata.json")) == collect(df)
     with pytest.raises(ValueError):
         ingest.write_chunks(df, str(tmp_path / "x"), 1, "rar")
+    assert catalog.read_metadata('{"object_key": "old", "row_groups": []}') == ("old", [])
+    for wrong in ("{}", '{"table_name": "t", "row_groups": [{"id": 0, "num_rows": 1}]}'):
+        with pytest.raises(ValueError):
+            catalog.read_metadata(wrong)
+
+
+def test_golden(spark):
+    df = spark.createDataFrame([(1, 2.5, "x"), (2, None, "y")], "a int, b double, c string")
+    text = sinks.golden(df)
+    assert json.loads(text) == {"a": ["1", "2"], "b": ["2.5", None], "c": ["x", "y"]}
+    sinks.assert_result(df, sinks.expected(text, df))
+    with pytest.raises(AssertionError):
+        sinks.assert_result(df.withColumn("a", F.col("a") + 1), sinks.expected(text, df))
 
 
 def test_catalog(spark):
@@ -112,26 +129,93 @@ def test_catalog(spark):
     assert row.d == datetime.date(1970, 1, 11) and row.c == "R"
 
 
-def ref(iu):
-    return {"expression": "iuref", "iu": iu}
+def ref(name):
+    return {"expression": "iuref", "iu": name}
+
 
+def iu(name, kind="integer"):
+    return {"iu": name, "type": {"type": kind}}
 
-def num(v):
-    return {"expression": "const", "value": {"type": "integer", "value": v}}
+
+def const(value, kind="integer", **more):
+    return {"expression": "const", "value": {"type": {"type": kind, **more}, "value": value}}
+
+
+def scan(table, restrictions=(), residuals=(), **columns):
+    return {"operator": "tablescan", "tablename": table, "attributes": [{"name": c, "iu": iu(n)} for c, n in columns.items()], "restrictions": list(restrictions), "residuals": list(residuals), "cardinality": 4}
 
 
 def test_plan_front_end(spark, left, right):
     tables = {"l": left, "r": right}.__getitem__
-    scan_l = {"operator": "tablescan", "tablename": "l", "attributes": [{"name": "k", "iu": "k#1"}, {"name": "x", "iu": "x#1"}], "restrictions": [{"attribute": 0, "mode": "[]", "value": num(1), "value2": num(2)}]}
-    scan_r = {"operator": "tablescan", "tablename": "r", "attributes": [{"name": "k2", "iu": "k#2"}, {"name": "y", "iu": "y#2"}]}
-    join = {"operator": "join", "type": "inner", "left": scan_l, "right": scan_r, "condition": {"expression": "compare", "direction": "=", "left": ref("k#1"), "right": ref("k#2")}}
-    mapped = {"operator": "map", "input": join, "values": [{"iu": "z", "exp": {"expression": "add", "left": ref("y#2"), "right": num(1)}}]}
-    group = {"operator": "groupby", "input": mapped, "values": [ref("k#1"), ref("z")], "key": [{"iu": "g", "arg": 0}], "aggregates": [{"op": "sum", "iu": "s", "arg": 1}, {"op": "countstar", "iu": "n"}]}
+    join = {"operator": "join", "type": "inner", "left": scan("l", [{"attribute": 0, "mode": "[]", "value": const(1), "upper": const(2)}], k="k#1", x="x#1"), "right": scan("r", k2="k#2", y="y#2"), "condition": {"expression": "compare", "direction": "=", "left": ref("k#1"), "right": ref("k#2")}}
+    mapped = {"operator": "map", "input": join, "values": [{"iu": iu("z"), "exp": {"expression": "add", "left": ref("y#2"), "right": const(1)}}]}
+    group = {"operator": "groupby", "input": mapped, "values": [ref("k#1"), ref("z")], "key": [{"iu": iu("g"), "arg": 0}], "aggregates": [{"op": "sum", "iu": iu("s"), "arg": 1}, {"op": "countstar", "iu": iu("n")}]}
     sort = {"operator": "sort", "input": group, "order": [{"value": ref("s"), "descending": True}], "limit": 5}
-    out = Translator(tables).plan({"plan": sort, "output": [{"name": "k", "iu": "g"}, {"name": "total", "iu": "s"}, {"name": "n", "iu": "n"}]})
-    assert collect(out) == [(1, 64, 4)]
-    with pytest.raises(PlanError):
-        Translator(tables).plan({"plan": {"operator": "window"}, "output": []})
+    root = {"plan": sort, "output": [{"name": "k", "iu": ref("g")}, {"name": "total", "iu": {"expression": "sub", "left": ref("s"), "right": const(1)}}, {"name": "n", "iu": ref("n")}]}
+    assert collect(Translator(tables).plan(root)) == [(1, 63, 4)]
+    assert collect(Translator(tables).plan({"optimizersteps": [{}] * 6 + [{"plan": root}]})) == [(1, 63, 4)]
+    for wrong in ({"operator": "window"}, {**group, "aggregates": [{"op": "median", "iu": iu("s"), "arg": 1}]}, {**join, "type": "cross"}):
+        with pytest.raises(PlanError):
+            Translator(tables).plan({"plan": wrong, "output": []})
+
+
+def test_plan_sort_of_two_keys(spark):
+    rows = [("N", "F"), ("A", "F"), ("R", "F"), ("N", "O")]
+    d = spark.createDataFrame(rows, "c1 string, c2 string")
+    sort = {"operator": "sort", "input": scan("t", c1="a", c2="b"), "order": [{"value": ref("a")}, {"value": ref("b")}]}
+    out = Translator({"t": d}.__getitem__).plan({"plan": sort, "output": [{"name": "c1", "iu": ref("a")}, {"name": "c2", "iu": ref("b")}]})
+    assert [tuple(r) for r in out.collect()] == [("A", "F"), ("N", "F"), ("N", "O"), ("R", "F")]
+
+
+PLANNED = [
+    ({"expression": "and", "input": [const(True, "bool"), const(False, "bool")]}, False),
+    ({"expression": "or", "input": [const(True, "bool"), const(False, "bool")]}, True),
+    ({"expression": "not", "input": const(True, "bool")}, False),
+    ({"expression": "isnull", "input": ref("n")}, True),
+    ({"expression": "between", "input": [ref("a"), const(1), const(7)]}, True),
+    ({"expression": "in", "input": [ref("a")], "values": [const(x)["value"] for x in (3, 7)]}, True),
+    ({"expression": "in", "input": [ref("a"), ref("s")], "values": [const(7)["value"], const("no", "text")["value"], const(7)["value"], const("a%b", "text")["value"]]}, True),
+    ({"expression": "in", "input": [ref("a")], "values": []}, False),
+    ({"expression": "like", "input": [ref("s"), const("a_b", "text")]}, True),
+    ({"expression": "contains", "input": [ref("s"), const("%", "text")]}, True),
+    ({"expression": "startswith", "input": [ref("s"), const("a", "char")]}, True),
+    ({"expression": "searchedcase", "cases": [{"condition": {"expression": "compare", "direction": ">", "left": ref("a"), "right": const(9)}, "result": const(1)}], "else": const(2)}, 2),
+    ({"expression": "simplecase", "input": ref("a"), "cases": [{"value": const(7), "result": const("seven", "text")}], "else": const("other", "text")}, "seven"),
+    ({"expression": "extractyear", "input": const(2440588 + 9496, "date")}, 1996),
+    ({"expression": "cast", "input": ref("a"), "type": {"type": "numeric", "precision": 5, "scale": 2}}, Decimal("7.00")),
+    (const(1234, "numeric", precision=6, scale=2), Decimal("12.34")),
+    (const(1234, "bignumeric", precision=6, scale=1), Decimal("123.4")),
+    (const(82, "char1"), "R"),
+    (const(None, "integer"), None),
+    ({"expression": "div", "left": const(7, "double"), "right": const(2, "double")}, 3.5),
+    ({"expression": "mul", "left": ref("a"), "right": ref("a")}, 49),
+]
+
+
+@pytest.mark.parametrize("k", range(len(PLANNED)))
+def test_plan_expressions(spark, k):
+    node, want = PLANNED[k]
+    d = spark.createDataFrame([(7, "a%b", None)], "a int, s string, n int")
+    out = Translator({"t": d}.__getitem__).plan({"plan": scan("t", a="a", s="s", n="n"), "output": [{"name": "v", "iu": node}]})
+    assert out.first().v == want
+
+
+def test_plan_restrictions_and_joins(spark, left, right):
+    tables = {"l": left, "r": right}.__getitem__
+    over = {"expression": "compare", "direction": ">", "left": ref("y"), "right": const(15)}
+    kept = scan("r", [{"mode": "expression", "value": over}, {"mode": "<>", "attribute": 1, "value": const(40)}], [over], k2="k2", y="y")
+    rows = {r.y for r in Translator(tables).plan({"plan": kept, "output": [{"name": "y", "iu": ref("y")}]}).collect()}
+    assert rows == {r.y for r in right.where("y > 15 and y <> 40").collect()}
+    on = {"expression": "and", "input": [{"expression": "compare", "direction": "=", "left": ref("k"), "right": ref("k2")}]}
+    for kind, how in (("leftsemi", "left_semi"), ("leftanti", "left_anti"), ("leftouter", "left_outer")):
+        node = {"operator": "join", "type": kind, "left": scan("l", k="k", x="x"), "right": scan("r", k2="k2", y="y"), "condition": on}
+        got = Translator(tables).plan({"plan": node, "output": [{"name": "k", "iu": ref("k")}, {"name": "x", "iu": ref("x")}]})
+        assert collect(got) == collect(left.join(right, left.k == right.k2, how).select("k", "x"))
+    node = {"operator": "join", "type": "rightanti", "left": scan("l", k="k", x="x"), "right": scan("r", k2="k2", y="y"), "condition": on}
+    early = {"operator": "earlyexecution", "input": node, "mapping": {"mapping": [{"key": "y", "value": "late y"}]}}
+    chosen = {"operator": "select", "input": early, "condition": {"expression": "compare", "direction": ">", "left": ref("late y"), "right": const(0)}}
+    got = Translator(tables).plan({"plan": chosen, "output": [{"name": "y", "iu": ref("late y")}]})
+    assert collect(got) == collect(right.join(left, left.k == right.k2, "left_anti").where("y > 0").select("y"))
 
 
 def test_scan_is_pruned(spark):
