@@ -16,8 +16,9 @@ Retrieved pairs are verified on the words: share of the question's distinct
 5-word shingles in the passage, and share of the answer's words. Where a table
 has no answer column, the last quarter of an item's words is its answer.
 
-Items are indexed in blocks of bounded number, so what a task holds doesn't
-follow the benchmark; each block is one scan of the documents. Document
+Items are indexed in blocks of bounded number, one after the other, so what
+the driver and a task hold doesn't follow the benchmark; each block is one scan
+of the documents, whose hits are kept in the shared folder. Document
 frequencies and the mean length are those of all items.
 
 Defined cases: null and empty texts hold nothing; null or empty items are
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import cut, small_batches
+from .shared import cut
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage needs to be verified; less for an item of which a passage that
@@ -249,7 +250,7 @@ def _hits(index: Index):
                         yield int(doc[p]), index.ids[j], score, has, ans
 
     def run(batches):
-        for b in batches:
+        for b in K.small(batches):
             ids = b.column(0).to_pylist()
             raw, off = K.flat(b.column(1))
             rows = []
@@ -276,7 +277,6 @@ def _item_words(batches):
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every test item found in a document, at its best passage."""
-    small_batches(docs.sparkSession, 200)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a"))
     scans = max(1, -(-items.count() // ITEMS_A_SCAN))
@@ -291,6 +291,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         if scans > 1:
             stats = n, mean or 1.0, {r.word: r.df for r in df.where(F.array_contains("scans", F.lit(k))).select("word", "df").collect()}
         found = docs.mapInArrow(_hits(Index([tuple(r) for r in block], stats=stats)), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        found = cut(found) if scans > 1 else found  # so that the driver holds one block's index at a time
         out = found if out is None else out.union(found)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")

@@ -45,6 +45,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def small(batches, rows: int = 128):
+    """Arrow batches cut into pieces of so many rows, so that copies of a column stay small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def flat(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and document offsets of an Arrow string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -144,3 +151,34 @@ def fold(values: np.ndarray, seed: int) -> int:
     """Order-free signed 64-bit digest of a set of hashes."""
     x = mix(np.append(mix(values + _U(seed)), _U(len(values) + seed)))
     return int(np.sum(x, dtype=np.uint64, keepdims=True).view(np.int64)[0])
+
+
+def bitmaps(owner: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each owner of ``n`` distinct hashes: n (four bytes), then a bitmap with a bit set where an odd number of them fall.
+
+    Two bitmaps differ in no more places than the sets do. One of twice as
+    many bits, folded, is one of half as many.
+    """
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    begin = np.cumsum(width) - width
+    at = begin[owner] + (h & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(width.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [k.to_bytes(4, "little") + packed[a // 8 : (a + w) // 8] for k, a, w in zip(n.tolist(), begin.tolist(), width.tolist(), strict=True)]
+
+
+def folded(bitmap: int, width: int, to: int) -> int:
+    while width > to:
+        width //= 2
+        bitmap = (bitmap >> width) ^ (bitmap & (1 << width) - 1)
+    return bitmap
+
+
+def may_be_alike(batches):
+    """Pairs (a, b, bitmaps of both) that the bitmaps don't rule out at 0.8: there, sets differ in a ninth of their sizes' sum at most."""
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            n, to = int.from_bytes(x[:4], "little") + int.from_bytes(y[:4], "little"), 8 * (min(len(x), len(y)) - 4)
+            x, y = (folded(int.from_bytes(v[4:], "little"), 8 * (len(v) - 4), to) for v in (x, y))
+            keep.append(9 * (x ^ y).bit_count() <= n)
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import small_batches
 
 #: Phrases and labels that are counted exactly.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -135,7 +134,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label
 def _scan(notices, phrases):
     def run(batches):
         scanner = Scanner(notices, phrases)
-        for b in batches:
+        for b in K.small(batches):
             raw, off = K.flat(b.column(b.num_columns - 1))
             counts = np.zeros(len(off) - 1, np.int64)
             for i, j in K.slices(off):
@@ -153,7 +152,6 @@ def _scan(notices, phrases):
 
 def find_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices=NOTICES, phrases=None) -> DataFrame:
     """(doc_id, n_words, places of exact phrases, spans of fuzzy notices) for each row."""
-    small_batches(docs.sparkSession, 200)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(_scan(tuple(notices), phrases), f"doc_id long, {SCHEMA}")
 

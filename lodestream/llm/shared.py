@@ -5,6 +5,7 @@ Arrow batches are bounded by bytes, by the session's own default (64 MB).
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few longs that are broadcast; beyond that the same join is shuffled.
 BROADCAST_ROWS = 200_000
+#: Spark's estimate for a plan of unknown size lies far above.
+UNKNOWN = 1 << 55
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles and checkpoints that nothing refers to any more: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder, by Hadoop's file system for it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,6 +56,17 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def tasks_for(docs: DataFrame, bytes_a_task: int) -> int:
+    """Tasks for work over the whole of docs: the session's shuffle partitions, or more where its estimated size asks for more."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_a_task if size < UNKNOWN else 0)
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Tells rows that repeat an id apart by their text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often the body or its lambdas use it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
