@@ -15,10 +15,13 @@ by a smaller id. Two passes find the windows to remove:
    The rest are dealt by window hash and sorted.
 
 A saturated sketch lets more windows through to the second pass; it loses
-none. Windows are compared by 80 bits of hash.
+none. Windows are compared by 80 bits of hash. What a task collects comes in
+parts whose number follows the input's size, and it holds one part at a time.
 
 Defined cases: null and word-free texts have no words; a null id is neither
-earlier nor later than any; rows that repeat an id are one document.
+earlier nor later than any; rows that repeat an id are neither earlier nor
+later than each other, and each loses the windows of its own text (texts of
+one id are told apart by 32 bits of hash).
 """
 
 from __future__ import annotations
@@ -31,12 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import cut, small_batches
+from .shared import cut, row_key, tasks_for
 
 #: Cells of each of the sketch's rows; as a bitmap each takes an eighth of this in bytes.
 WIDTH = 1 << 25
 ROWS = 2
 GRAM = 8
+#: Text (bytes) whose windows one task collects, in ``PARTS`` parts.
+TEXT_A_TASK = 256 << 20
+PARTS = 4
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -79,7 +85,7 @@ def _cells(name: np.ndarray) -> list[np.ndarray]:
 def _sketch(size: int):
     def run(batches):
         cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
+        for b in K.small(batches):
             raw, off = K.flat(b.column(0))
             found = []
             for i, j in K.slices(off):
@@ -113,94 +119,100 @@ def _held(bitmap: np.ndarray, name: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _settle(h, h2, doc, at):
-    """Sorted by window and document: whether a row is of its window's earliest document."""
+def _settle(h, h2, doc, row, at):
+    """Sorted by window and document: whether a place is of its window's earliest document."""
     o = np.lexsort((at, doc, h2, h))
-    h, h2, doc, at = h[o], h2[o], doc[o], at[o]
+    h, h2, doc, row, at = h[o], h2[o], doc[o], row[o], at[o]
     new = np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]
     lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    return h, h2, doc, at, doc == doc[lead]
+    return h, h2, doc, row, at, doc == doc[lead]
 
 
-def _packed(doc: np.ndarray, at: np.ndarray, parts: int):
-    """(bucket of documents, packed ids, packed places) rows: a few for each task, however many documents."""
+_PLACES = ["bucket", "ids", "rows", "places"]
+
+
+def _packed(doc: np.ndarray, row: np.ndarray, at: np.ndarray, parts: int):
+    """(bucket of documents, packed ids, row tags and places): a few rows for each task, however many documents."""
     bucket = (K.mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    o = np.lexsort((at, doc, bucket))
-    doc, at = doc[o].astype(np.int64), at[o].astype(np.int32)
+    o = np.lexsort((at, row, doc, bucket))
+    doc, row, at = doc[o].astype(np.int64), row[o].astype(np.uint32), at[o].astype(np.int32)
     cuts = np.searchsorted(bucket[o], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)):
-        yield int(p), doc[cuts[p] : cuts[p + 1]].tobytes(), at[cuts[p] : cuts[p + 1]].tobytes()
+        yield int(p), *(x[cuts[p] : cuts[p + 1]].tobytes() for x in (doc, row, at))
 
 
-def _gathered(batches):
-    """(doc_id, places) with one row a document; a bucket's rows are together, other buckets follow."""
-    held: dict[int, list] = {}
+def _by_part(batches, kinds):
+    """The arrays of each part (first column) of rows that are sorted by it, one part at a time."""
+    part, held = None, []
     for b in batches:
-        for p, doc, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            held.setdefault(p, []).append((np.frombuffer(doc, np.int64), np.frombuffer(at, np.int32)))
-    for p in list(held):
-        doc, at = (np.concatenate(x) for x in zip(*held.pop(p), strict=True))
-        o = np.lexsort((at, doc))
-        doc, at = doc[o], at[o]
-        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array([x.tobytes() for x in np.split(at, cuts[1:])], pa.binary())], names=["doc_id", "places"])
+        for p, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if p != part and held:
+                yield [np.concatenate(v) for v in zip(*held, strict=True)]
+                held = []
+            part = p
+            held.append([np.frombuffer(v, t) for v, t in zip(x, kinds, strict=True)])
+    if held:
+        yield [np.concatenate(v) for v in zip(*held, strict=True)]
+
+
+def _gathered(batches):
+    """(doc_id, tag, places) with one row a document."""
+    for doc, row, at in _by_part(batches, (np.int64, np.uint32, np.int32)):
+        o = np.lexsort((at, row, doc))
+        doc, row, at = doc[o], row[o], at[o]
+        cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array(row[cuts].astype(np.int64)), pa.array([x.tobytes() for x in np.split(at, cuts[1:])], pa.binary())], names=["doc_id", "tag", "places"])
 
 
-_MOVED = ["part", "doc_id", "h", "h2", "at"]
+_MOVED = ["part", "doc_id", "tag", "h", "h2", "at"]
 
 
 def _candidates(size: int, bitmap, parts: int):
     def run(batches):
         rows = []
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            raw, off = K.flat(b.column(1))
+        for b in K.small(batches):
+            ids, tags = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            raw, off = K.flat(b.column(2))
             for i, j in K.slices(off):
                 d, at, w, second, name = _windows(raw[off[i] : off[j]], off[i : j + 1] - off[i], size)
                 keep = _held(bitmap.value, name)
-                rows.append((w[keep], second[keep].astype(np.uint16), ids[i:j][d[keep]], at[keep].astype(np.int32)))
+                d = d[keep]
+                rows.append((w[keep], second[keep].astype(np.uint16), ids[i:j][d], tags[i:j][d].astype(np.uint32), at[keep].astype(np.int32)))
         if not rows:
             return
-        h, h2, doc, at, first = _settle(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+        h, h2, doc, row, at, first = _settle(*(np.concatenate(x) for x in zip(*rows, strict=True)))
         rows.clear()
-        for p, ids_, places in _packed(doc[~first], at[~first], parts):
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - p], pa.int32()), pa.array([ids_], pa.binary()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([places], pa.binary())], names=_MOVED)
-        h, h2, doc, at = h[first], h2[first], doc[first], at[first]
+        none = [pa.array([b""], pa.binary())] * 2
+        for p, *x in _packed(doc[~first], row[~first], at[~first], parts):
+            ids_, tags, places = (pa.array([v], pa.binary()) for v in x)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - p], pa.int32()), ids_, tags, *none, places], names=_MOVED)
+        h, h2, doc, row, at = h[first], h2[first], doc[first], row[first], at[first]
         part = (h % np.uint64(parts)).astype(np.int64)
-        o = np.lexsort((at, doc, part))
-        part, h, h2, doc, at = (x[o] for x in (part, h, h2, doc, at))
+        o = np.argsort(part, kind="stable")
+        part, h, h2, doc, row, at = (x[o] for x in (part, h, h2, doc, row, at))
         cuts = np.searchsorted(part, np.arange(parts + 1))
-        for p in range(parts):
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
             a, z = cuts[p], cuts[p + 1]
-            if z > a:
-                x = (doc[a:z].astype(np.int64), h[a:z], h2[a:z], at[a:z])
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in x)], names=_MOVED)
+            x = (doc[a:z].astype(np.int64), row[a:z], h[a:z], h2[a:z], at[a:z])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in x)], names=_MOVED)
 
     return run
 
 
 def _late(parts: int):
     def run(batches):
-        """Places whose window an earlier document holds; a part's rows are together, other parts follow."""
-        held: dict[int, list] = {}
-        for b in batches:
-            for p, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.setdefault(p, []).append([np.frombuffer(v, t) for v, t in zip(x, (np.int64, np.uint64, np.uint16, np.int32), strict=True)])
-        found = []
-        for p in list(held):
-            doc, h, h2, at = (np.concatenate(v) for v in zip(*held.pop(p), strict=True))
-            _, _, doc, at, first = _settle(h, h2, doc, at)
-            found.append((doc[~first], at[~first]))
-        if found:
-            for p, ids, places in _packed(*(np.concatenate(v) for v in zip(*found, strict=True)), parts):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([ids], pa.binary()), pa.array([places], pa.binary())], names=["bucket", "ids", "places"])
+        """Places whose window an earlier document holds, by bucket."""
+        for doc, row, h, h2, at in _by_part(batches, (np.int64, np.uint32, np.uint64, np.uint16, np.int32)):
+            _, _, doc, row, at, first = _settle(h, h2, doc, row, at)
+            for p, *x in _packed(doc[~first], row[~first], at[~first], parts):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([v], pa.binary()) for v in x)], names=_PLACES)
 
     return run
 
 
 def _kept(size: int):
     def run(batches):
-        for b in batches:
+        for b in K.small(batches):
             n, removed, text = [], [], []
             for t, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = (t or "").encode().split()  # at 0x20 and 0x09-0x0D
@@ -226,16 +238,17 @@ def _kept(size: int):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of each row; kept words are joined by one space."""
     spark = docs.sparkSession
-    small_batches(spark, 200)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    tag = row_key(id_col, text_col).bitwiseAND((1 << 32) - 1)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), F.col(text_col).cast("string").alias("text"))
     known = docs.where("doc_id is not null")
     bitmap = spark.sparkContext.broadcast(repeated_names(known, size))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    moved = cut(known.mapInArrow(_candidates(size, bitmap, parts), "part int, doc_id binary, h binary, h2 binary, at binary"))
-    here = moved.where("part < 0").select((-1 - F.col("part")).alias("bucket"), F.col("doc_id").alias("ids"), F.col("at").alias("places"))
-    there = moved.where("part >= 0").repartition("part").mapInArrow(_late(parts), "bucket int, ids binary, places binary")
-    gone = here.union(there).repartition("bucket").mapInArrow(_gathered, "doc_id long, places binary")
-    return docs.join(gone, "doc_id", "left").mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    tasks = tasks_for(docs, TEXT_A_TASK)
+    moved = cut(known.mapInArrow(_candidates(size, bitmap, PARTS * tasks), "part int, doc_id binary, tag binary, h binary, h2 binary, at binary"))
+    here = moved.where("part < 0").select((-1 - F.col("part")).alias("bucket"), F.col("doc_id").alias("ids"), F.col("tag").alias("rows"), F.col("at").alias("places"))
+    there = moved.where("part >= 0").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_late(PARTS * tasks), "bucket int, ids binary, rows binary, places binary")
+    gone = here.union(there).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_gathered, "doc_id long, tag long, places binary")
+    out = docs.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "places")
+    return out.mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def report(docs: DataFrame) -> DataFrame:
