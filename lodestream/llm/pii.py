@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import boost
 from .shared import let
-from .spans import EMPTY, apart, every_match, matches, render
+from .spans import EMPTY, apart, clear_of, every_match, matches, overlapping_runs, render
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 SAMPLE_MOST = 2000
@@ -194,40 +194,48 @@ def candidates(text: Column, kind: str, trees: list, cut: float, base: Column) -
     def scored(x: Column) -> Column:
         before = F.substring(text, F.greatest(x["s"] - 29, F.lit(1)), F.least(x["s"], F.lit(30)))
         after = F.substring(text, x["e"] + 1, F.lit(1))
-        z = boost.expression(trees, features(x["v"], before, after, kind))
+        # the context is cut out once: a place in a text is found by counting from its start
+        z = let(F.struct(before.alias("b"), after.alias("a")), lambda c: boost.expression(trees, features(x["v"], c["b"], c["a"], kind)))
         return F.struct(z.alias("z"), F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"), x["v"].alias("v"))
 
     proposed = F.concat(*[every_match(text, g) for g in GENERATORS[kind]])
-    return F.filter(F.transform(F.filter(proposed, lambda x: apart(x, base)), scored), lambda x: x["z"] >= F.lit(cut))
+    return F.filter(F.transform(let(proposed, lambda p: clear_of(p, base)), scored), lambda x: x["z"] >= F.lit(cut))
 
 
 def _best(found: Column) -> Column:
-    """Spans that don't overlap, chosen by score; at equal scores the longer, then the earlier, then the kind."""
-    ranked = F.sort_array(F.transform(found, lambda x: F.struct((-x["z"]).alias("z"), (x["s"] - x["e"]).alias("n"), x["s"].alias("s"), x["k"].alias("k"), x.alias("x"))))
-    zero = F.array().cast("array<struct<k:int,s:int,e:int,kind:string,v:string>>")
+    """Spans that don't overlap, chosen by score; at equal scores the longer, then the earlier, then the kind.
+
+    Each run of overlapping spans is settled by itself.
+    """
     plain = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["v"].alias("v"))
-    return F.sort_array(F.aggregate(ranked, zero, lambda acc, r: F.when(apart(r["x"], acc), F.array_append(acc, plain(r["x"]))).otherwise(acc)))
+
+    def settled(run: Column) -> Column:
+        ranked = F.sort_array(F.transform(run, lambda x: F.struct((-x["z"]).alias("z"), (x["s"] - x["e"]).alias("n"), x["s"].alias("s"), x["k"].alias("k"), x.alias("x"))))
+        zero = F.array().cast("array<struct<k:int,s:int,e:int,kind:string,v:string>>")
+        return F.when(F.size(run) == 1, F.transform(run, plain)).otherwise(F.aggregate(ranked, zero, lambda acc, r: F.when(apart(r["x"], acc), F.array_append(acc, plain(r["x"]))).otherwise(acc)))
+
+    by_start = F.sort_array(F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), x["z"].alias("z"), x["kind"].alias("kind"), x["v"].alias("v"))))
+    return F.sort_array(F.flatten(F.transform(let(by_start, overlapping_runs), settled)))
 
 
 def _tag(spans: Column, i: int) -> Column:
     return F.transform(spans, lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS[i]).alias("kind"), x["v"].alias("v")))
 
 
-def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with ``base`` and ``added``: arrays of struct<k,s,e,kind,v> by kind, then start."""
+def find_pii(docs: DataFrame, text_col: str = "text", base_col: str = "base", added_col: str = "added") -> DataFrame:
+    """docs with ``base_col`` and ``added_col``: arrays of struct<k,s,e,kind,v> by kind, then start."""
     fitted = model(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(*[_tag(base_spans(text, k), i) for i, k in enumerate(KINDS[:4])])
-    out = docs.withColumn("base", base)
-    maybe = F.concat(*[candidates(text, k, *fitted[k][:2], F.col("base")) for k in KINDS])
-    out = out.withColumn("added", F.when(text.rlike(r"[0-9]|\x20dot\x20|[(\[{]dot"), _best(maybe)).otherwise(F.filter(F.col("base"), lambda x: F.lit(False))))
-    return out
+    out = docs.withColumn(base_col, base)
+    maybe = F.concat(*[candidates(text, k, *fitted[k][:2], F.col(base_col)) for k in KINDS])
+    return out.withColumn(added_col, F.when(text.rlike(r"[0-9]|\x20dot\x20|[(\[{]dot"), _best(maybe)).otherwise(F.filter(F.col(base_col), lambda x: F.lit(False))))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every found span replaced by [KIND]; overlapping base spans count from the earliest start."""
-    found = find_pii(docs, text_col)
-    spans = F.sort_array(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    found = find_pii(docs, text_col, "_pii_base", "_pii_added")
+    spans = F.sort_array(F.transform(F.concat("_pii_base", "_pii_added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -236,7 +244,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.col(text_col).isNotNull(), done)).drop("base", "added")
+    return found.withColumn(text_col, F.when(F.col(text_col).isNotNull(), done)).select(*docs.columns)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
