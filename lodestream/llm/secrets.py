@@ -20,11 +20,12 @@ import math
 import random
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import let
-from .spans import apart, matches, render
+from .spans import clear_of, matches, render
 
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -36,30 +37,42 @@ VALUE = r"[A-Za-z0-9+/_-]{16,}+=*"
 LEAST_LENGTH = 16
 #: A segment ends where its sum has fallen by this from its peak (nats): about four characters of ordinary text.
 FALL = 8.0
-#: Added spans need this mean log-likelihood ratio (nats a character).
-LEAST_RATIO = 0.5
+#: Added spans need the mean log-likelihood ratio (nats a character) that gives this precision on the held-out third.
+PRECISION = 0.99
+#: So many ordinary strings of the length of a secret stand in text for each random one, as taken for the precision.
+ORDINARY = 50
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Ordinary parts for the sample of identifiers: fixed words of code and prose.
 WORDS = "the and for that with from this have not are was which when their there about other into than time could people some only new also after first year two way even want because any these give day most user name value count index file path read write open close list item node tree graph table column row data type class method function return string number object array buffer stream socket client server request response handler manager factory builder parser token session config option default update delete insert select create remove find search sort merge split join filter map reduce test check error message event queue stack heap cache memory thread lock state status result license version information international development government environment management technology organization particular understanding necessary responsible performance opportunity".split()
+#: Fixed long words of other languages, for the same sample.
+FOREIGN = "Geschwindigkeitsbegrenzung Rechtsschutzversicherung Donaudampfschifffahrt Bundesverfassungsgericht Kraftfahrzeughaftpflicht Zusammengehoerigkeit Arbeitsunfaehigkeit Weiterentwicklung anticonstitutionnellement developpement intergouvernemental professionnellement responsabilidad internacionalizacion desafortunadamente otorrinolaringologo electroencefalografista verantwoordelijkheid aansprakelijkheid vakantiebestemming samenwerkingsverband raggiungimento precipitevolissimevolmente kansainvalistyminen lentokonesuihkuturbiini uppmarksamhet nordvastersjokustartilleri niezaleznosc przedsiebiorstwo".split()
 
 
 def labelled_samples(n: int = 4000, seed: int = 11) -> tuple[list[str], list[str]]:
-    """(random strings, ordinary identifiers), n of each; n bounds the sample."""
+    """(random strings, ordinary identifiers), n of each and three runs of every character; n bounds the sample."""
     rnd = random.Random(seed)
     kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62]]
     noise = ["".join(rnd.choice(k) for _ in range(rnd.randint(16, 48))) for k in (rnd.choice(kinds) for _ in range(n))]
     plain = []
     for _ in range(n):
         w = [rnd.choice(WORDS) for _ in range(rnd.randint(2, 5))]
-        style = rnd.randrange(6)
+        style = rnd.randrange(10)
         if style == 1:
             w = [w[0], *(x.title() for x in w[1:])]
         elif style == 2:
             w = [x.upper() for x in w]
         elif style == 3:
             w[-1] = str(rnd.randint(0, 2030))
-        plain.append(["", "", "_", "-", "_", "/"][style].join(w))
-    return noise, plain
+        elif style == 6:  # rules, padding, runs
+            w = [rnd.choice(["", w[0]]), rnd.choice(ALPHABET + "-_=/+" * 12) * rnd.randint(16, 60), rnd.choice(["", w[1]])]
+        elif style == 7:  # paths, with versions and numbers
+            w = [rnd.choice(["", "usr", "home", "var"]), *w, rnd.choice(["lib64", "python3", "v2", str(rnd.randint(0, 999)), "main-page"]), w[0]]
+        elif style == 8:  # long words of other languages
+            w = [x if rnd.random() < 0.5 else x.lower() for x in (rnd.choice(FOREIGN) for _ in range(rnd.randint(1, 2)))]
+        elif style == 9:  # dates, times and counters
+            w = [f"{rnd.randint(1990, 2030)}{s}{rnd.randint(1, 12):02}{s}{rnd.randint(1, 28):02}" for s in [rnd.choice("-/_")]] + [f"{rnd.randint(0, 23):02}-{rnd.randint(0, 59):02}-{rnd.randint(0, 59):02}", w[0]]
+        plain.append(["", "", "_", "-", "_", "/", "", "/", rnd.choice(["", "-"]), "-"][style].join(w))
+    return noise, plain + [c * rnd.randint(LEAST_LENGTH, 60) for c in ALPHABET for _ in range(3)]
 
 
 @lru_cache(maxsize=4)
@@ -76,6 +89,22 @@ def ratios(n: int = 4000, seed: int = 11) -> list[float]:
     return [tables[0][i][j] - tables[1][i][j] for i in range(m) for j in range(m)]
 
 
+@lru_cache(maxsize=1)
+def least_ratio() -> tuple[float, float, float]:
+    """Threshold of the mean ratio, with precision and recall on a held-out sample of random and ordinary strings."""
+    at, table, m = {c: i for i, c in enumerate(ALPHABET)}, ratios(), len(ALPHABET)
+    sides = [[x for x in side if len(x) >= LEAST_LENGTH] for side in labelled_samples(2000, seed=12)]
+    mean = lambda s: sum(table[at[a] * m + at[b]] for a, b in zip(s, s[1:], strict=False)) / (len(s) - 1)
+    z = np.array([mean(s) for side in sides for s in side])
+    y = np.array([1] * len(sides[0]) + [0] * len(sides[1]))
+    order = np.argsort(-z)
+    weight = np.where(y == 1, 1, ORDINARY)
+    enough = np.flatnonzero(np.cumsum(y[order]) >= PRECISION * np.cumsum(weight[order]))
+    cut = float(z[order][enough[-1]])
+    picked = z >= cut
+    return cut, float(y[picked].sum() / weight[picked].sum()), float(picked[y == 1].mean())
+
+
 def _pairs(token: Column, table: list[float]) -> Column:
     """Log-likelihood ratio of each pair of neighbours in an ASCII token over ALPHABET."""
     m, values = len(ALPHABET), F.from_json(F.lit("[" + ",".join(f"{x:.5f}" for x in table) + "]"), "array<double>")
@@ -114,8 +143,11 @@ def _segments(v: Column, pairs: Column, least: float) -> Column:
         )
 
     def widened(x: Column) -> Column:
-        a = x["a"] - F.length(F.regexp_extract(F.substring(v, F.lit(1), x["a"]), r"[^/_-]*\z", 0))
-        z = x["z"] + F.length(F.regexp_extract(F.substring(v, x["z"] + 1, F.length(v)), r"\A[^/_-]*", 0))
+        """To the next / _ or - outside; but a segment that begins or ends within a character of one begins or ends there."""
+        head = F.length(F.regexp_extract(F.substring(v, x["a"] + 1, F.lit(2)), r"\A[^/_-]?[/_-]", 0))
+        tail = F.length(F.regexp_extract(F.substring(v, x["z"] - 1, F.lit(2)), r"[/_-][^/_-]?\z", 0))
+        a = F.when(head > 0, x["a"] + head).otherwise(x["a"] - F.length(F.regexp_extract(F.substring(v, F.lit(1), x["a"]), r"[^/_-]*\z", 0)))
+        z = F.when(tail > 0, x["z"] - tail).otherwise(x["z"] + F.length(F.regexp_extract(F.substring(v, x["z"] + 1, F.length(v)), r"\A[^/_-]*", 0)))
         return F.struct(a.alias("a"), z.alias("z"), (x["z"] - x["a"]).alias("n"))
 
     def random_like(x: Column) -> Column:
@@ -139,22 +171,24 @@ def random_spans(text: Column, base: Column, table: list[float], least: float) -
         return F.transform(places, lambda p: F.struct((x["s"] + p["a"]).alias("s"), (x["s"] + p["z"]).alias("e"), F.substring(x["v"], p["a"] + 1, p["z"] - p["a"]).alias("v")))
 
     def runs(parts: Column) -> Column:
-        return F.concat(parts, F.filter(matches(text, TOKEN), lambda x: apart(x, parts) & apart(x, base) & (log_ratio(x["v"], table) >= least)))
+        free = let(F.filter(matches(text, TOKEN), lambda x: log_ratio(x["v"], table) >= least), lambda m: clear_of(m, F.concat(parts, plain)))
+        return F.concat(parts, free)
 
-    return let(F.filter(F.flatten(F.transform(matches(text, VALUE), within)), lambda x: apart(x, base)), runs)
+    plain = F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
+    return let(let(F.flatten(F.transform(matches(text, VALUE), within)), lambda m: clear_of(m, base)), runs)
 
 
 def _tag(spans: Column, i: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"), F.lit(KINDS[i]).alias("kind"), x["v"].alias("v")))
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", least: float = LEAST_RATIO) -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", least: float | None = None) -> DataFrame:
     """docs with ``base`` and ``added``: arrays of struct<s,k,e,kind,v> by start, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = {k: matches(text, BASE[k]) for k in KINDS[:3]}
     found["assign"] = F.filter(found["assign"], lambda x: F.length(F.regexp_extract(x["v"], ASSIGN, 2)) >= 12)
     base = F.concat(*[_tag(found[k], i) for i, k in enumerate(KINDS[:3])])
-    table = ratios()
+    table, least = ratios(), least_ratio()[0] if least is None else least
     out = docs.withColumn("base", F.sort_array(base))
     return out.withColumn("added", F.sort_array(_tag(random_spans(text, F.col("base"), table, least), 3)))
 
