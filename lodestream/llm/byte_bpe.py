@@ -1,20 +1,22 @@
 """Byte-level BPE by higher-order functions over arrays of byte pieces.
 
-A text is split by the tokenizer's pattern; each piece of text becomes an array
-of the ids of its bytes, and a fold merges the adjacent pair of lowest rank
-until none is left. Ranks come from a literal map from pairs of ids, laid
-out as hash buckets of keys and values because lookup in a map is a scan. The id of a merged pair is its rank.
-
-Distinct words are counted over all documents; the ``CACHE_WORDS`` most
-frequent are encoded once and become a second literal map, and every other
-word is folded where it stands. What the cache holds changes the cost, never
-the ids. Words over ``LONG`` bytes merge all places of the lowest rank in one
-step, unless that could differ from merging them one by one.
-
-Decoding concatenates the pieces' bytes, held as Latin-1 strings.
+Each task splits its texts by the tokenizer's pattern, in chunks of bounded
+text. Words that the task meets for the first time become arrays of the ids of
+their bytes, and one fold for each of them merges the adjacent pair of lowest
+rank until none is left, in built-in higher-order functions. The ids then go
+back to every place of the word by its number in the task, so nothing is
+shuffled, collected or kept, and a task folds each distinct word once (it
+forgets its words when there are ``WORDS_A_TASK`` of them). Ranks come from a
+literal map from pairs of ids, laid out as a perfect hash table because lookup
+in a map is a scan; it is a table of one row, whose size is the vocabulary's.
+The id of a merged pair is its rank. Words over ``LONG`` bytes merge all places
+of the lowest rank in one step, unless that could differ from merging them one
+by one.
+
+Decoding concatenates the pieces' bytes.
 
 Defined cases: null and empty texts have no ids; special tokens in a text are
-ordinary text; columns of the input are kept, names that clash are replaced.
+ordinary text; columns of the input are kept, a column ``ids`` is replaced.
 """
 
 from __future__ import annotations
@@ -23,23 +25,34 @@ import base64
 import json
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import let
+from . import kernels as K
+from .shared import cut, let
 
-#: Bound of the literal map of encoded words, and the longest word (bytes) it takes.
-CACHE_WORDS = 1 << 18
-CACHE_BUCKETS = 262139
-CACHE_BYTES = 48
+#: Text (characters) of a chunk; a longer document is a chunk of its own.
+CHUNK_CHARS = 4 << 20
+#: Distinct words that a task remembers.
+WORDS_A_TASK = 2_000_000
+#: Documents of a chunk that one batch of results holds.
+DOCS_A_BATCH = 1000
 LONG = 64
-BUCKETS = 65521
+#: Slots of the rank table, and of the displacements that spread its keys without a clash; primes.
+SLOTS, BUCKETS = 524287, 65521
+#: Ids and ranks are below 1 << BITS; NONE stands for "no such pair", above every rank.
+BITS = 17
+NONE = 1 << BITS
 _SPACE = r"\t-\r\x20\x85\xA0  -     　"
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern with white space spelled out, as Java's \\s is ASCII only."""
+def plain_pattern(pattern: str) -> str:
+    """The pattern with white space spelled out, as that differs between regex engines."""
     out = pattern.replace(r"[^\s", f"[^{_SPACE}")
     return out.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
 
@@ -64,20 +77,43 @@ class Vocabulary:
     def size(self) -> int:
         return max(self.ranks.values()) + 1
 
+    @property
+    def radix(self) -> int:
+        """A pair (a, b) has the key a * radix + b; the id ``size`` stands for the end of a word, in no pair."""
+        return self.size + 1
+
     @lru_cache(maxsize=4)  # noqa: B019
-    def literals(self) -> dict[str, str]:
-        size, keys, values = self.size, [[] for _ in range(BUCKETS)], [[] for _ in range(BUCKETS)]
+    def pairs(self) -> dict[int, int]:
+        """Rank by key of every pair of pieces that make a piece."""
+        found, radix = {}, self.radix
         for piece, rank in self.ranks.items():
             for i in range(1, len(piece)):
                 a, b = self.ranks.get(piece[:i]), self.ranks.get(piece[i:])
                 if a is not None and b is not None:
-                    key = a * size + b
-                    keys[key % BUCKETS].append(key)
-                    values[key % BUCKETS].append(rank)
-        pieces = [""] * size
-        for piece, rank in self.ranks.items():
-            pieces[rank] = piece.decode("latin-1")
-        return {"keys": json.dumps(keys), "values": json.dumps(values), "bytes": json.dumps([self.ranks[bytes([i])] for i in range(256)]), "pieces": json.dumps(pieces)}
+                    found[a * radix + b] = rank
+        return found
+
+    @lru_cache(maxsize=4)  # noqa: B019
+    def table(self) -> dict[str, np.ndarray]:
+        """Entries (key << BITS) + rank by slot, and shifts: the slot of a key is (key ^ shift[key % BUCKETS]) % SLOTS."""
+        pairs = self.pairs()
+        if len(pairs) > SLOTS * 0.8 or self.size >= 1 << BITS:
+            raise ValueError(f"a vocabulary of {self.size} pieces and {len(pairs)} pairs is too large for the rank table")
+        buckets: dict[int, list[int]] = {}
+        for key in pairs:
+            buckets.setdefault(key % BUCKETS, []).append(key)
+        entries, shift = np.full(SLOTS, -1, np.int64), np.zeros(BUCKETS, np.int64)
+        taken: set[int] = set()
+        for b, own in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
+            for s in range(1, 1 << 30):
+                slots = {(key ^ s * 2654435761) % SLOTS for key in own}
+                if len(slots) == len(own) and not slots & taken:
+                    break
+            taken |= slots
+            shift[b] = s * 2654435761
+            for key in own:
+                entries[(key ^ s * 2654435761) % SLOTS] = (key << BITS) + pairs[key]
+        return {"entries": entries, "shift": shift}
 
     def merge(self, word: bytes) -> list[int]:
         """The plain algorithm, for the driver's own use on the vocabulary's pieces."""
@@ -90,149 +126,226 @@ class Vocabulary:
         return [self.ranks[p] for p in parts]
 
     @lru_cache(maxsize=4)  # noqa: B019
-    def unreachable(self) -> dict[str, list[int]]:
+    def unreachable(self) -> dict[bytes, int]:
         """Pieces that merging does not rebuild, though a whole word equal to one is its id."""
-        return {p.decode("latin-1"): [r] for p, r in self.ranks.items() if self.merge(p) != [r]}
-
-
-def latin(word: Column) -> Column:
-    """A string with one character for each byte of the word."""
-    return F.decode(word.cast("binary"), "ISO-8859-1")
-
-
-#: Stands for "no such pair": above every rank.
-NONE = 1 << 30
-
-
-def _ids(s: Column, size: int, t: Column) -> Column:
-    """Ids of a Latin-1 byte string by ranked merges.
-
-    The state of the fold is the ids p of the pieces and the ranks r of their
-    adjacent pairs; a step merges one pair and looks up its two new neighbours.
+        return {p: r for p, r in self.ranks.items() if self.merge(p) != [r]}
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The rank table as one row (entries, shift), from literals, with lineage cut."""
+        name = "spark.sql.maxPlanStringLength"
+        before = spark.conf.get(name, None)
+        spark.conf.set(name, "10000")  # the literals are long, and plans are logged
+        try:
+            return cut(spark.range(1).coalesce(1).select(*[F.from_json(F.lit(json.dumps(v.tolist())), "array<bigint>").alias(k) for k, v in self.table().items()]))
+        finally:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _ids(word: Column, radix: int, t: dict[str, Column]) -> Column:
+    """Ids of a word by ranked merges.
+
+    The state of the fold has a place for each piece, (rank << BITS) + id with
+    the rank of the piece and the next one, between two ends (id radix - 1);
+    the smallest value is the next pair to merge. A step puts the merged piece
+    in its place and looks up its two new neighbours. ``word`` is the first
+    state.
     """
+    mask = F.lit((1 << BITS) - 1).cast("long")
 
-    def rank(a: Column, b: Column) -> Column:
-        key = a.cast("long") * size + b
-        at = F.pmod(key, F.lit(BUCKETS)).cast("int")
-        return F.coalesce(F.get(F.get(t["values"], at), F.array_position(F.get(t["keys"], at), key).cast("int") - 1), F.lit(NONE))
-
-    def ranks(p: Column) -> Column:
-        return F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1)))
+    def place(key: Column) -> Column:
+        """What stands at the first piece of a pair; an entry of another key is too far off to be a rank."""
+        slot = F.pmod(key.bitwiseXOR(F.get(t["shift"], F.pmod(key, F.lit(BUCKETS)).cast("int"))), F.lit(SLOTS)).cast("int")
+        rank = F.least(F.pmod(F.get(t["entries"], slot) - F.shiftleft(key, BITS), F.lit(1 << 60)), F.lit(NONE).cast("long"))
+        return F.shiftleft(rank, BITS) + F.floor(key / radix)
 
-    def state(p: Column, r: Column) -> Column:
-        return F.struct(p.alias("p"), r.alias("r"))
-
-    def some(x: Column) -> Column:
-        return F.filter(x, lambda v: v.isNotNull())
-
-    def one(acc: Column, m: Column) -> Column:
-        p, r = acc["p"], acc["r"]
+    def one(x: Column, m: Column) -> Column:
+        new = F.shiftright(m, BITS)
 
         def at(j: Column) -> Column:
-            """Merge pair j, from 0."""
-            q = F.transform(p, lambda x, k: F.when(k == j, m).when(k != j + 1, x))
-            near = lambda x, k: F.when(k == j - 1, rank(F.get(p, j - 1), m)).when(k == j + 1, rank(m, F.get(p, j + 2))).when(k != j, x)
-            return state(some(q), some(F.transform(r, near)))
+            """Merge the pair of the places j and j + 1, from 1; there is a place on either side."""
+            keys = F.array(F.get(x, j - 2).bitwiseAND(mask) * radix + new, new * radix + F.get(x, j + 1).bitwiseAND(mask))
+            return F.concat(F.slice(x, F.lit(1), j - 2), F.transform(keys, place), F.slice(x, j + 2, F.size(x)))
 
-        return let(F.array_position(r, m).cast("int") - 1, at)
+        return let(F.array_position(x, m).cast("int"), at)
 
-    def every(acc: Column, m: Column) -> Column:
-        p, r = acc["p"], acc["r"]
-        here = lambda i: F.coalesce(F.get(r, i) == m, F.lit(False))
-        spots = some(F.transform(r, lambda x, i: F.when(x == m, i)))
+    def every(x: Column, m: Column) -> Column:
+        """Merge all places of rank m, of a run of overlapping ones every other."""
+        new = F.shiftright(m, BITS)
+        here = lambda i: F.coalesce(F.get(x, i) == m, F.lit(False))
+        spots = F.filter(F.transform(x, lambda v, i: F.when(v == m, i)), lambda v: v.isNotNull())
 
-        def taken(t_: Column) -> Column:
-            """p with the pairs at t_ (from 0, apart) merged."""
-            before = F.flatten(F.transform(t_, lambda x, k: F.concat(F.slice(p, F.when(k > 0, F.get(t_, k - 1) + 3).otherwise(1), x - F.when(k > 0, F.get(t_, k - 1) + 2).otherwise(0)), F.array(m))))
-            return F.concat(before, F.slice(p, F.get(t_, F.size(t_) - 1) + 3, F.size(p)))
+        def runs(s: Column) -> Column:
+            ends = F.struct(F.filter(s, lambda i: ~here(i - 1)).alias("f"), F.filter(s, lambda i: ~here(i + 1)).alias("l"))
+            return let(ends, lambda q: F.flatten(F.transform(q["f"], lambda v, k: F.sequence(v, F.get(q["l"], k), F.lit(2)))))
 
-        def runs(x: Column) -> Column:
-            firsts = F.filter(x, lambda i: ~here(i - 1))
-            lasts = F.filter(x, lambda i: ~here(i + 1))
-            return let(F.struct(firsts.alias("f"), lasts.alias("l")), lambda q: F.flatten(F.transform(q["f"], lambda v, k: F.sequence(v, F.get(q["l"], k), F.lit(2)))))
+        def merged(s: Column) -> Column:
+            """Ids with the pairs at s (from 0, apart) merged."""
+            p = F.transform(x, lambda v: v.bitwiseAND(mask))
+            before = lambda p: F.flatten(F.transform(s, lambda i, k: F.concat(F.slice(p, F.when(k > 0, F.get(s, k - 1) + 3).otherwise(1), i - F.when(k > 0, F.get(s, k - 1) + 2).otherwise(0)), F.array(new))))
+            return let(p, lambda p: F.concat(before(p), F.slice(p, F.get(s, F.size(s) - 1) + 3, F.size(p))))
 
-        def decide(t_: Column) -> Column:
-            passing = F.exists(t_, lambda i: F.coalesce(rank(m, F.get(p, i + 2)) < m, F.lit(False)))
-            done = let(taken(t_), lambda q: state(q, ranks(q)))
-            return let(done, lambda d: F.when(passing | F.coalesce(F.array_min(d["r"]) < m, F.lit(False)), one(acc, m)).otherwise(d))
-
-        return let(let(spots, runs), decide)
+        def placed(p: Column) -> Column:
+            return F.transform(p, lambda a, i: place(a * radix + F.coalesce(F.get(p, i + 1), F.lit(radix - 1))))
 
-    def fold(step):
-        def merge(acc: Column, _) -> Column:
-            return let(F.array_min(acc["r"]), lambda m: F.when(F.coalesce(m, F.lit(NONE)) == NONE, acc).otherwise(step(acc, m)))
-
-        return lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p)), state(p, ranks(p)), merge, lambda acc: acc["p"])
-
-    start = F.transform(F.split(s, "", F.length(s)), lambda c: F.get(t["bytes"], F.ascii(c)))
-    return let(start, lambda p: F.when(F.size(p) < 2, p).when(F.size(p) <= LONG, fold(one)(p)).otherwise(fold(every)(p)))
-
-
-def split_words(text: Column, vocabulary: Vocabulary) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(vocabulary.pattern)), F.lit(0))
-
-
-def _tables(vocabulary: Vocabulary, known: str) -> Column:
-    lit = vocabulary.literals()
-    return F.struct(
-        F.from_json(F.lit(lit["keys"]), "array<array<bigint>>").alias("keys"),
-        F.from_json(F.lit(lit["values"]), "array<array<int>>").alias("values"),
-        F.from_json(F.lit(lit["bytes"]), "array<int>").alias("bytes"),
-        F.from_json(F.lit(known), "array<map<string,array<int>>>").alias("known"),
-    )
-
-
-def _bucket(s: Column) -> Column:
-    return F.pmod(F.xxhash64(s), F.lit(CACHE_BUCKETS)).cast("int")
-
-
-def _known(rows) -> str:
-    """JSON of the bucketed word cache from (bucket, word, ids)."""
-    out = [{} for _ in range(CACHE_BUCKETS)]
-    for b, w, ids in rows:
-        out[b][w] = ids
-    return json.dumps(out)
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
-    """docs with ``ids``: the token ids of each text."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.maxPlanStringLength", "200000")  # the literals are long; plans are logged
-    words = split_words(F.col(text_col), vocabulary)
-    odd = vocabulary.unreachable()
-
-    def fresh(w: Column, t: Column) -> Column:
-        """Ids of a word; whole words that are pieces which merging doesn't rebuild are looked up."""
-        folded = let(latin(w), lambda s: _ids(s, vocabulary.size, t))
-        if not odd:
-            return folded
-        pinned = F.from_json(F.lit(json.dumps(odd)), "map<string,array<int>>")
-        return F.coalesce(pinned.getItem(latin(w)), folded)
-
-    every = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = every.where(F.octet_length("w") <= CACHE_BYTES).orderBy(F.desc("n"), "w").limit(cache_words).select("w")
-    done = top.repartition(64, "w").select(_bucket(F.col("w")).alias("b"), "w", let(_tables(vocabulary, "[]"), lambda t: fresh(F.col("w"), t)).alias("ids")).toArrow()
-    known = _known(zip(*(c.to_pylist() for c in done.columns), strict=True))
-
-    def all_words(t: Column) -> Column:
-        return F.flatten(F.transform(words, lambda w: F.coalesce(F.get(t["known"], _bucket(w)).getItem(w), fresh(w, t))))
-
-    return docs.withColumn("ids", let(_tables(vocabulary, known), all_words))
+        def decide(s: Column) -> Column:
+            passing = F.exists(s, lambda i: F.shiftright(place(new * radix + F.get(x, i + 2).bitwiseAND(mask)), BITS) < new)
+            return let(let(merged(s), placed), lambda d: F.when(passing | (F.shiftright(F.array_min(d), BITS) < new), one(x, m)).otherwise(d))
 
+        return let(let(spots, runs), decide)
 
-def decode(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The bytes of an array of ids."""
-    pieces = F.from_json(F.lit(vocabulary.literals()["pieces"]), "array<string>")
-    return let(pieces, lambda t: F.encode(F.array_join(F.transform(ids, lambda x: F.get(t, x)), ""), "ISO-8859-1"))
+    def fold(step) -> Column:
+        def merge(x: Column, _) -> Column:
+            return let(F.array_min(x), lambda m: F.when(m >= (NONE << BITS), x).otherwise(step(x, m)))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(word) - 2), word, merge)
+
+    return F.when(F.size(word) <= LONG + 2, fold(one)).otherwise(fold(every))
+
+
+class _Numbered(dict):
+    """Words by their number, in order of first use."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
+def _first_states(byte_ids: np.ndarray, ranks: np.ndarray, end: int, pinned: dict[bytes, int]):
+    """Function of words to their first states: ids of bytes with the ranks of neighbours, between two ends."""
+
+    def states(words: list[str]) -> pa.Array:
+        raw = [w.encode() for w in words]
+        size = np.array([1 if w in pinned else len(w) for w in raw], np.int64) + 2
+        stop = np.cumsum(size)
+        p = np.full(stop[-1] if len(stop) else 0, -1, np.int64)
+        p[stop - 1] = p[stop - size] = end
+        inner = p < 0
+        letters = np.frombuffer(b"".join(b"\0" if w in pinned else w for w in raw), np.uint8)
+        p[inner] = byte_ids[letters]
+        rank = np.full(len(p), NONE, np.int64)
+        both = np.flatnonzero(inner[:-1] & inner[1:])
+        letter = np.zeros(len(p), np.int64)
+        letter[inner] = letters
+        rank[both] = ranks[letter[both], letter[both + 1]]
+        for i in [i for i, w in enumerate(raw) if w in pinned]:
+            p[stop[i] - 2] = pinned[raw[i]]
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, stop], pa.int32()), pa.array((rank << BITS) + p))
+
+    return states
+
+
+def _chunks(pattern: str, states, most: int, words_a_task: int):
+    """Rows (text, columns) to one row a chunk: first states of words new in the task, numbers of all words, words a row, columns."""
+
+    def row(fresh: bool, new: list[str], codes: list, kept: list) -> pa.RecordBatch:
+        inner = states(new)
+        counts = np.array([len(c) for c in codes], np.int32)
+        out = [pa.array([fresh]), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), inner), pa.array([np.concatenate([*codes, np.zeros(0, np.int32)]).tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())]
+        for c in zip(*kept, strict=True):
+            c = pa.concat_arrays(c)
+            out.append(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c))
+        return pa.RecordBatch.from_arrays(out, names=["fresh", "words", "codes", "counts", *(f"c{i}" for i in range(len(out) - 4))])
+
+    def run(batches):
+        import regex
+
+        find = regex.compile(pattern).findall
+        numbers, sent, fresh, codes, kept, held = _Numbered(), 0, True, [], [], 0
+        for b in K.small(batches):
+            begin = 0
+            for i, text in enumerate(b.column(0).to_pylist()):
+                if held and held + len(text or "") > most:
+                    yield row(fresh, list(islice(numbers, sent, None)), codes, [*kept, [c.slice(begin, i - begin) for c in b.columns[1:]]])
+                    sent, fresh, codes, kept, held, begin = len(numbers), False, [], [], 0, i
+                    if sent > words_a_task:
+                        numbers, sent, fresh = _Numbered(), 0, True
+                codes.append(np.array(list(map(numbers.__getitem__, find(text))) if text else [], np.int32))
+                held += len(text or "")
+            kept.append([c.slice(begin) for c in b.columns[1:]])
+        if codes:
+            yield row(fresh, list(islice(numbers, sent, None)), codes, kept)
+
+    return run
+
+
+def _spread(batches):
+    """Chunks' rows, with the last states of new words, to their documents' rows: a task's chunks come in order."""
+    mask = (1 << BITS) - 1
+    flat, size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    for b in batches:
+        for k in range(b.num_rows):
+            fresh, states, codes, counts, *kept = (c.slice(k, 1) for c in b.columns)
+            states = states.flatten()
+            n = states.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            new = states.flatten().to_numpy(zero_copy_only=False) & mask
+            stop = np.cumsum(n)
+            inner = np.ones(len(new), bool)
+            inner[stop - 1] = inner[stop - n] = False  # the ends
+            if fresh[0].as_py():
+                flat, size = new[inner].astype(np.int32), n - 2
+            else:
+                flat, size = np.r_[flat, new[inner].astype(np.int32)], np.r_[size, n - 2]
+            start = np.cumsum(size) - size
+            code = np.frombuffer(codes[0].as_buffer(), np.int32)
+            stop = np.r_[0, np.cumsum(np.frombuffer(counts[0].as_buffer(), np.int32), dtype=np.int64)]
+            kept = [c.flatten() for c in kept]
+            for i in range(0, len(stop) - 1, DOCS_A_BATCH):
+                j = min(i + DOCS_A_BATCH, len(stop) - 1)
+                own = code[stop[i] : stop[j]]
+                m = size[own]
+                before = np.r_[0, np.cumsum(m)]
+                at = np.arange(before[-1]) - np.repeat(before[:-1], m) + np.repeat(start[own], m)
+                lists = pa.ListArray.from_arrays(pa.array(before[stop[i : j + 1] - stop[i]], pa.int32()), pa.array(flat[at], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in kept), lists], names=[*(f"c{x}" for x in range(len(kept))), "ids"])
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", chunk_chars: int = CHUNK_CHARS, words_a_task: int = WORDS_A_TASK, keep_text: bool = True) -> DataFrame:
+    """docs with ``ids``: the token ids of each text; without the text itself, if it need not be carried on."""
+    text = F.col(text_col).cast("string").alias("_text")
+    docs = docs.drop("ids")
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    fields = [docs.schema[c] for c in kept]
+    byte_ids = np.array([vocabulary.ranks[bytes([i])] for i in range(256)], np.int64)
+    ranks = np.array([[vocabulary.ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], np.int64)
+    states = _first_states(byte_ids, ranks, vocabulary.size, vocabulary.unreachable())
+    lists = "".join(f", c{i} array<{f.dataType.simpleString()}>" for i, f in enumerate(fields))
+    chunk = _chunks(plain_pattern(vocabulary.pattern), states, chunk_chars, words_a_task)
+    words = docs.select(text, *[docs[c].alias(f"c{i}") for i, c in enumerate(kept)]).mapInArrow(chunk, f"fresh boolean, words array<array<bigint>>, codes binary, counts binary{lists}")
+    words = words.join(F.broadcast(vocabulary.frame(docs.sparkSession)))
+    table = {c: F.col(c) for c in ("entries", "shift")}
+    done = words.select("fresh", F.transform("words", lambda w: _ids(w, vocabulary.radix, table)).alias("words"), "codes", "counts", *[f"c{i}" for i in range(len(kept))])
+    out = done.mapInArrow(_spread, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return out.toDF(*kept, "ids")
+
+
+def _joined(pieces: list[bytes], kind: pa.DataType):
+    def run(batches):
+        for b in K.small(batches):
+            ids = b.column(0)
+            out = [b"".join(map(pieces.__getitem__, x)) if x is not None else None for x in ids.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, kind)], names=[*b.schema.names[1:], "bytes"])
+
+    return run
+
+
+def decoded(docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
+    """docs with the bytes that the ids of a column stand for (null for null), as column ``to``."""
+    pieces = [b""] * vocabulary.size
+    for piece, rank in vocabulary.ranks.items():
+        pieces[rank] = piece
+    docs = docs.drop(to)
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
+    rows = docs.select(F.col(ids_col).alias("_ids"), *[docs[c].alias(f.name) for c, f in zip(docs.columns, fields, strict=True)])
+    return rows.mapInArrow(_joined(pieces, pa.binary()), T.StructType([*fields, T.StructField("bytes", T.BinaryType())])).toDF(*docs.columns, to)
 
 
 def report(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: number of ids, and digests of the ids and of the decoded bytes."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = encode(docs, vocabulary).select("doc_id", "ids")
+    out = decoded(encode(docs, vocabulary, keep_text=False), vocabulary)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
