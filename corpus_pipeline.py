@@ -9,6 +9,9 @@ the columns of documents.
 * near_duplicates: of each group of documents alike, the smallest id stays.
 * decontaminate: documents that hold a test item go.
 * tokens: texts become token ids, with the bytes they decode to.
+
+All stages: an empty table gives an empty table with the same columns; extra
+columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,40 +23,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import byte_bpe, decontaminate, jaccard_join, lines, quality
-from lodestream.llm.shared import shared_dir
+from lodestream.llm.shared import delete, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs).where("rejected_by is null").drop("rejected_by")
+    """Keeps the documents that no rule rejects. Null, empty and word-free texts are rejected as short; rows are
+    judged each by its own text, so repeated rows and null ids are kept or go alike."""
+    return quality.judge(docs, to="_quality_rejected_by").where("_quality_rejected_by is null").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes redundant lines; a document stays while it has a line with a word. n_chars follows the text."""
-    out = lines.dedup_lines(docs)
-    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t-\r]")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    """Removes redundant lines; a document goes only if it loses its last line with a word. n_chars follows the text.
+
+    Rows with a null id or text stay as they are; rows that repeat an id with
+    another text are documents of their own; rows equal in id and text keep and
+    lose the same lines.
+    """
+    gone = F.col("_lines_removed")
+    out = lines.dedup_lines(docs, count_col="_lines_removed")
+    out = out.where((gone == 0) | F.col("text").rlike(r"[^ \t-\r]")).withColumn("n_chars", F.when(gone > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each component; rows with a null id stay."""
-    found = jaccard_join.jaccard_components(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each component: the smallest id's; rows with a null id stay.
+
+    Rows that repeat an id are judged each by its own text, so a row does not go
+    for another's; rows equal in id and text are one. Texts without words stay.
+    """
+    return jaccard_join.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold an item: rows with an id by the id, rows with a null id each by its text (64-bit hash)."""
+    """Drops the rows whose text holds an item, whatever their id; texts are told apart by 64-bit hashes. Null and
+    empty texts hold nothing and stay; null and empty items are found nowhere."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null").withColumn("_key", F.xxhash64("text"))
-    found = decontaminate.leaks(named, items).select("doc_id").distinct()
-    hashes = decontaminate.leaks(nameless, items, id_col="_key").select(F.col("doc_id").alias("_key")).distinct()
-    return named.join(found, "doc_id", "left_anti").select(*docs.columns).unionByName(nameless.join(hashes, "_key", "left_anti").select(*docs.columns))
+    keyed = docs.withColumn("_leak_key", F.xxhash64("text"))
+    found = decontaminate.leaks(keyed, items, id_col="_leak_key").select(F.col("doc_id").alias("_leak_key")).distinct()
+    return keyed.join(found, "_leak_key", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of each row, whatever its id; null and empty texts have no ids."""
     vocabulary = byte_bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = byte_bpe.encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(byte_bpe.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"))
+    out = byte_bpe.decoded(byte_bpe.encode(docs.select("doc_id", "text"), vocabulary, keep_text=False), vocabulary)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -64,14 +78,17 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: SQL can't express the stages. tests/llm holds the operators against brute-force versions; of the stages only decontamination's null ids are tested, and the pipeline as a whole is not.
+#: SQL can't express the stages; tests/llm holds each of them against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; each stage's folder is removed when the next one has been written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}")
         docs = spark.read.parquet(f"{home}/{k}")
+        if k:
+            delete(spark, f"{home}/{k - 1}")
     return docs
