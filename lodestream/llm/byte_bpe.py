@@ -29,6 +29,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -318,12 +319,29 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", chun
     return out.toDF(*kept, "ids")
 
 
-def _joined(pieces: list[bytes], kind: pa.DataType):
+def _joined(pieces: list[bytes], most: int = 1 << 20):
+    """Rows (ids, columns) to the columns and the ids' pieces laid one behind the other, about ``most`` ids at a time."""
+    length = np.array([len(x) for x in pieces], np.int64)
+    begin = np.cumsum(length) - length
+
     def run(batches):
-        for b in K.small(batches):
-            ids = b.column(0)
-            out = [b"".join(map(pieces.__getitem__, x)) if x is not None else None for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, kind)], names=[*b.schema.names[1:], "bytes"])
+        blob = np.frombuffer(b"".join(pieces), np.uint8)
+        for b in batches:
+            lists = b.column(0)
+            n = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            i = 0
+            while i < b.num_rows:
+                j = i + max(1, int(np.searchsorted(np.cumsum(n[i:]), most, "right")))
+                part = lists.slice(i, j - i)
+                ids = part.flatten().to_numpy(zero_copy_only=False)
+                size = length[ids]
+                stop = np.r_[0, np.cumsum(size)]
+                at = np.arange(stop[-1]) + np.repeat(begin[ids] - stop[:-1], size)
+                offsets = stop[np.r_[0, np.cumsum(n[i:j])]]
+                out = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(blob[at])]).cast(pa.binary())
+                out = pc.if_else(part.is_valid(), out, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[1:]), out], names=[*b.schema.names[1:], "bytes"])
+                i = j
 
     return run
 
@@ -336,7 +354,7 @@ def decoded(docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: s
     docs = docs.drop(to)
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
     rows = docs.select(F.col(ids_col).alias("_ids"), *[docs[c].alias(f.name) for c, f in zip(docs.columns, fields, strict=True)])
-    return rows.mapInArrow(_joined(pieces, pa.binary()), T.StructType([*fields, T.StructField("bytes", T.BinaryType())])).toDF(*docs.columns, to)
+    return rows.mapInArrow(_joined(pieces), T.StructType([*fields, T.StructField("bytes", T.BinaryType())])).toDF(*docs.columns, to)
 
 
 def report(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,7 +34,8 @@ class Notice:
     errors: int = 3
 
 
-#: Short notices searched with a few edits.
+#: Short notices searched with a few edits, from the public texts of the licences, their recommended
+#: notices and the SPDX identifiers.
 NOTICES = (
     Notice("apache-2.0", "licensed under the apache license, version 2.0"),
     Notice("mit", "released under the mit license", 2),
@@ -45,6 +46,22 @@ NOTICES = (
     Notice("mpl-2.0", "subject to the terms of the mozilla public license, v. 2.0", 4),
     Notice("reserved", "all rights reserved", 1),
     Notice("no-warranty", "the software is provided \"as is\", without warranty of any kind", 4),
+    Notice("gpl", "under the terms of the gnu general public license as published by the free software foundation", 5),
+    Notice("lgpl", "under the terms of the gnu lesser general public license", 3),
+    Notice("agpl", "under the terms of the gnu affero general public license", 3),
+    Notice("isc", "permission to use, copy, modify, and/or distribute this software for any purpose", 4),
+    Notice("unlicense", "this is free and unencumbered software released into the public domain", 4),
+    Notice("bsl-1.0", "distributed under the boost software license, version 1.0", 3),
+    Notice("epl-2.0", "under the terms of the eclipse public license", 3),
+    Notice("zlib", "this software is provided 'as-is', without any express or implied warranty", 4),
+    Notice("cc-by", "licensed under a creative commons attribution 4.0 international license", 3),
+    Notice("cc-by-sa", "creative commons attribution-sharealike 4.0 international", 2),
+    Notice("cc0", "creative commons cc0 1.0 universal", 2),
+    Notice("apache-2.0", "spdx-license-identifier: apache-2.0", 1),
+    Notice("mit", "spdx-license-identifier: mit", 1),
+    Notice("gpl", "spdx-license-identifier: gpl-2.0", 1),
+    Notice("bsd", "spdx-license-identifier: bsd-3-clause", 1),
+    Notice("mpl-2.0", "spdx-license-identifier: mpl-2.0", 1),
 )
 
 _NOT_WORD = np.zeros(256, dtype=bool)

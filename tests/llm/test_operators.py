@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm import boost, byte_bpe, decontaminate, jaccard_join, licenses, lines, pii, quality, secrets, spans, substrings, token_files
+from lodestream.llm import boost, byte_bpe, decontaminate, graph, jaccard_join, kernels, licenses, lines, pii, quality, secrets, spans, substrings, token_files
 from lodestream.llm.graph import components
 
 DATA = "/root/testdata/sf0.001"
@@ -79,7 +79,8 @@ def test_pii(spark, docs, nothing):
 def test_pii_adds_and_redacts(spark):
     d = spark.createDataFrame([(1, "call (555) 123-4567 or write to ann.lee at example dot com, mail a@b.co"), (2, None)], "doc_id long, text string")
     r = pii.report(d).where("doc_id = 1").first()
-    assert "phone:5:19" in r.spans and "email:32:58" in r.spans.replace("email:29:58", "email:32:58")
+    assert r.spans.split(",")[-2:] == ["email:32:58", "email:65:71"] or "email:32:58" in r.spans, r.spans
+    assert "phone:5:19" in r.spans
     out = {x.doc_id: x.text for x in pii.redact(d).collect()}
     assert out[2] is None and "555" not in out[1] and "a@b.co" not in out[1] and "[EMAIL]" in out[1]
 
@@ -137,9 +138,11 @@ def test_secrets(spark, docs, nothing):
 
 def test_markov_held_out(spark):
     noise, plain = secrets.labelled_samples(300, seed=99)
-    df = spark.createDataFrame([(1, x) for x in noise] + [(0, x) for x in plain if len(x) > 1], "y int, t string")
+    df = spark.createDataFrame([(1, x) for x in noise] + [(0, x) for x in plain if len(x) >= 16], "y int, t string")
     got = df.select("y", secrets.log_ratio(F.col("t"), secrets.ratios()).alias("r")).collect()
-    right = sum((r.r >= secrets.LEAST_RATIO) == bool(r.y) for r in got) / len(got)
+    least, precision, recall = secrets.least_ratio()
+    assert precision >= 0.97 and recall >= 0.97
+    right = sum((r.r >= least) == bool(r.y) for r in got) / len(got)
     assert right > 0.95
 
 
@@ -176,6 +179,48 @@ def test_glued_secrets(spark):
     assert secrets.find_secrets(spark.createDataFrame(plain + paths, "text string")).where("size(added) > 0").count() <= 8
 
 
+def test_junk_is_no_secret(spark):
+    junk = ["-" * 20, "=" * 40, "a" * 24, "_" * 30, "heading\n--------------------", "xxxxxxxxxxxxxxxxxxxxxxxx", "/usr/local/lib/python3/site-packages/pandas/core", "|------------------|", "Geschwindigkeitsbegrenzungen", "2024-03-05-17-30-00", "0000000000000000000000000".replace("0", "Z")]
+    got = secrets.find_secrets(spark.createDataFrame([(t,) for t in junk], "text string")).collect()
+    assert [(r.text, [x.v for x in r.added]) for r in got if r.added] == []
+
+
+def test_many_matches_in_one_text(spark):
+    """Linear in the number of matches, and equal to the plain version."""
+    import time
+
+    n = 20_000
+    text = " ".join(f"user{i}@host{i % 97}.example.com +1 (555) 123-{i % 10000:04} 10.0.{i % 256}.{i % 199}" for i in range(n // 3))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    r = pii.report(d).first()
+    took = time.perf_counter() - began
+    for k, (p, ok) in PII.items():
+        assert r[f"n_{k}"] == sum(1 for m in re.finditer(p, text) if ok(m[0], re.sub(r"\D", "", m[0])))
+    base = [f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in PII.items() for m in re.finditer(p, text) if ok(m[0], re.sub(r"\D", "", m[0]))]
+    assert r.base_sha256 == sha(",".join(base)) and took < 60, took
+
+
+def test_clear_of_and_runs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(spans, "FEW", 4)
+    rnd = random.Random(8)
+    make = lambda: [(s, s + rnd.randint(1, 9), "v") for s in sorted(rnd.randrange(200) for _ in range(rnd.randint(0, 30)))]
+    made = [(make(), make()) for _ in range(60)]
+    kind = "array<struct<s:int,e:int,v:string>>"
+    d = spark.createDataFrame(made, f"a {kind}, b {kind}")
+    for r in d.select("a", "b", spans.clear_of(F.col("a"), F.col("b")).alias("c"), spans.overlapping_runs(F.col("a")).alias("g")).collect():
+        assert [tuple(x) for x in r.c] == [tuple(x) for x in r.a if not any(o.s < x.e and x.s < o.e for o in r.b)]
+        assert [x for g in r.g for x in g] == r.a
+        for g, h in zip(r.g, r.g[1:]):
+            assert max(x.e for x in g) <= h[0].s
+            assert all(any(x.s < y.e for x in g[:k]) for k, y in enumerate(g) if k)
+    n = spark.createDataFrame([([rnd.randrange(100) for _ in range(m)],) for m in (0, 1, 3, 4, 5, 64, 65, 300)], "a array<int>")
+    for r in n.select("a", spans.running(F.col("a"), F.lit(0), lambda p, q: p + q).alias("b")).collect():
+        assert r.b == [sum(r.a[:k]) for k in range(len(r.a))]
+
+
 # 2 ---------------------------------------------------------------------
 
 
@@ -329,15 +374,24 @@ HARD = ["", "\n\n  \t x", "a" * 400, "=" * 130 + " ab" * 3, "don't we'll I'M x's
 
 
 def test_byte_bpe(spark, docs, vocabulary, coder, nothing):
-    d = docs.select("doc_id", "text").where("doc_id < 60").union(spark.createDataFrame([(-200 - i, t) for i, t in enumerate(HARD)], "doc_id long, text string"))
+    d = docs.select("doc_id", "text", "base").where("doc_id < 60").union(spark.createDataFrame([(-200 - i, t, "y") for i, t in enumerate(HARD)], "doc_id long, text string, base string"))
     text = {r.doc_id: r.text or "" for r in d.collect()}
-    out = byte_bpe.encode(d, vocabulary, cache_words=300).select("doc_id", "ids", byte_bpe.decode(F.col("ids"), vocabulary).alias("back"))
-    for r in out.collect():
-        assert r.ids == coder.encode_ordinary(text[r.doc_id]), r.doc_id
-        assert bytes(r.back) == text[r.doc_id].encode()
+    for chunk, words in ((40, 100), (40, byte_bpe.WORDS_A_TASK), (byte_bpe.CHUNK_CHARS, byte_bpe.WORDS_A_TASK)):
+        out = byte_bpe.decoded(byte_bpe.encode(d, vocabulary, chunk_chars=chunk, words_a_task=words), vocabulary).collect()
+        assert len(out) == len(text)
+        for r in out:
+            assert r.ids == coder.encode_ordinary(text[r.doc_id]), r.doc_id
+            assert bytes(r.decoded) == text[r.doc_id].encode() and (r.text or "") == text[r.doc_id] and r.base in "xy"
     assert byte_bpe.report(nothing, vocabulary).count() == 0
 
 
+def test_settings_are_left_alone(spark, docs, vocabulary):
+    before = dict(spark.conf.getAll)
+    byte_bpe.report(docs.limit(5), vocabulary).collect()
+    token_files.document_counts(docs.limit(5), vocabulary).collect()
+    assert dict(spark.conf.getAll) == before
+
+
 # 6 ---------------------------------------------------------------------
 
 
@@ -362,6 +416,15 @@ def test_jaccard(docs, rows, nothing):
     assert jaccard_join.jaccard_components(nothing).count() == 0
 
 
+def test_jaccard_in_groups_of_any_size(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MANY", 0)
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    monkeypatch.setattr(graph, "CHUNK", 4)
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == brute_jaccard(rows)
+
+
 def test_jaccard_near_the_threshold(spark):
     import random
 
@@ -437,6 +500,39 @@ def test_adjacent_notices():
             at += len(t) + 1
 
 
+def test_no_notice_is_lost():
+    """Wherever a notice stands with its edits, by a match tried at every place, a span of it is reported there."""
+    import random
+
+    import regex
+
+    rnd, scan = random.Random(14), licenses.Scanner()
+    assert [x[:3] for x in scan.spans("released under the mit licence. released under the mit license")] == [(0, 30, "mit"), (32, 62, "mit")]
+    for n in licenses.NOTICES:
+        whole = regex.compile(f"(?:{regex.escape(n.text, special_only=True)}){{e<={n.errors}}}")
+        for _ in range(6):
+            parts = []
+            for _ in range(rnd.randint(1, 4)):
+                x = list(n.text)
+                for _ in range(rnd.randint(0, n.errors + 1)):
+                    i = rnd.randrange(len(x))
+                    x[i] = rnd.choice(["", "~", x[i] + "~"])
+                parts.append("".join(x))
+            text = rnd.choice([" ", " and ", "\n", ""]).join(parts)
+            found = [x for x in scan.spans(text) if x[2] == n.label]
+            assert all(a[1] <= b[0] or a[0] != b[0] for a, b in zip(found, found[1:]))
+            for at in range(len(text)):
+                if m := whole.match(text, at):
+                    assert any(s < m.end() and at < e for s, e, _, _ in found), (n.text, text, at)
+
+
+def test_jaccard_of_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    d = spark.createDataFrame([(5, a), (5, b), (1, a + " more"), (5, a), (9, b), (None, a), (5, None), (5, "")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.class_id) for r in jaccard_join.jaccard_components(d).collect())
+    assert got == Counter({(5, 36, 1, 5): 2, (5, 36, 5, 5): 1, (1, 37, 1, 1): 1, (9, 36, 5, 5): 1, (None, 36, None, None): 1, (5, 0, 5, 5): 2})
+
+
 # 8 ---------------------------------------------------------------------
 
 
@@ -488,12 +584,14 @@ def test_short_line_edits(spark):
     assert len(alike - gone) <= 0.03 * len(alike)
 
 
-def test_lines(docs, rows, nothing):
-    at = defaultdict(list)
+def brute_lines(rows):
+    """Text of each row less its redundant lines; False where it loses its last line with a word."""
+    at = defaultdict(set)
     for i, t in rows:
-        for k, x in enumerate((t or "").split("\n")):
-            if WORD.search(x):
-                at[x].append((i, k))
+        if i is not None:
+            for k, x in enumerate((t or "").split("\n")):
+                if WORD.search(x):
+                    at[x].add((i, t, k))
     names, u = list(at), Union()
     sets = [lines.shingles(x.encode()) for x in names]
     held = defaultdict(list)
@@ -504,16 +602,107 @@ def test_lines(docs, rows, nothing):
         for b, o in common.items():
             if o >= 0.8 * (len(x) + len(sets[b]) - o) - 1e-9:
                 u.join(a, b)
-    stay = {}
+    first = {}
     for a, x in enumerate(names):
         k = u.find(a)
-        stay[k] = min([*at[x], stay.get(k, (math.inf, 0))])
-    keep = set(stay.values())
-    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
-    wrong = 0
+        first.setdefault(k, set()).update(at[x])
+    keep = {min(v) for v in first.values()}
+    out = []
     for i, t in rows:
-        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not WORD.search(x) or (i, k) in keep)
-        wrong += got[i].text != want
-    assert wrong <= 0.01 * len(rows)  # candidates come from banded signatures
+        if t is None or i is None:
+            out.append(t)
+            continue
+        left = [x for k, x in enumerate(t.split("\n")) if not WORD.search(x) or (i, t, k) in keep]
+        new = "\n".join(left)
+        out.append(new if WORD.search(new) or new == t else False)
+    return out
+
+
+def test_lines(docs, rows, nothing):
+    """Exact on this table: that banding finds every pair here is checked with the result."""
+    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    for (i, t), want in zip(rows, brute_lines(rows), strict=True):
+        if want is False:
+            assert not WORD.search(got[i].text) and got[i].n_removed
+        else:
+            assert got[i].text == want, i
     assert got[-1].text is None and "base" in got[-1].asDict()
     assert lines.dedup_lines(nothing).count() == 0
+
+
+def test_lines_in_groups_of_any_size(spark, docs, rows, monkeypatch):
+    """The same result where lists, blocks and tasks are small, and components go by stars."""
+    monkeypatch.setattr(lines, "MANY", 0)
+    monkeypatch.setattr(lines, "HOT", 2)
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    monkeypatch.setattr(graph, "CHUNK", 4)
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 0)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert all(got[i] == want for (i, _), want in zip(rows, brute_lines(rows), strict=True) if want is not False)
+
+
+def test_lines_of_repeated_ids(spark):
+    a, b = "the first line of this text, which comes back", "a line that stands nowhere else at all in here"
+    d = spark.createDataFrame([(1, a, 7), (2, a, 8), (2, b, 9), (None, a, 10), (3, b + "\n" + a, 11)], "doc_id long, text string, gone int")
+    got = sorted((r.gone, r.text, r.n_removed) for r in lines.dedup_lines(d).collect())
+    assert got == [(7, a, 0), (8, "", 1), (9, b, 0), (10, a, 0), (11, "", 2)]
+
+
+def test_banding_finds_pairs_at_the_threshold():
+    """Share of pairs at similarity 0.8 to 0.88 that agree in a band, in several ranges of length."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(12)
+    for least, most in ((40, 80), (100, 200), (300, 600)):
+        made = []
+        while len(made) < 400:
+            x = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rnd.randint(least, most)))
+            y = list(x)
+            for _ in range(rnd.randint(1, max(1, len(x) // 40))):
+                y[rnd.randrange(len(y))] = "#"
+            p, q = lines.shingles(x.encode()), lines.shingles("".join(y).encode())
+            if 0.8 <= len(p & q) / len(p | q) <= 0.88:
+                made += [(x, "".join(y))]
+        raw = np.frombuffer("\n".join(t for two in made for t in two).encode(), np.uint8)
+        s, e, _, _ = lines._lines(raw, np.array([0, len(raw)]))
+        sig = lines.signatures(raw, s, e)
+        bands = sig.reshape(len(made), 2, lines.BANDS, lines.PER_BAND)
+        assert (bands[:, 0] == bands[:, 1]).all(2).any(1).mean() >= 0.98
+
+
+def test_bitmaps_rule_out_no_link():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd, made = random.Random(13), []
+    for _ in range(300):
+        x = "".join(rnd.choice("abcdéf") for _ in range(rnd.randint(3, 700)))
+        y = x[: rnd.randint(len(x) // 2, len(x))] + "".join(rnd.choice("abcdéf") for _ in range(rnd.randint(0, len(x) // 5)))
+        made.append((x.encode(), y.encode() or b"z"))
+    raw = np.frombuffer(b"".join(t for two in made for t in two), np.uint8)
+    stop = np.cumsum([len(t) for two in made for t in two])
+    maps = lines._bitmaps(raw, np.r_[0, stop[:-1]], stop)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(range(300), pa.int64()), pa.array(maps[::2], pa.binary()), pa.array(maps[1::2], pa.binary())], names=["a", "b", "x", "y"])
+    passed = {r["a"] for b in kernels.may_be_alike([batch]) for r in b.to_pylist()}
+    alike = {k for k, (x, y) in enumerate(made) if lines.similar(lines.shingles(x), lines.shingles(y))}
+    assert alike and alike <= passed and len(passed) < 300
+    one, two = lines._bitmaps(raw[: stop[0]], np.array([0]), stop[:1]), lines._bitmaps(raw[: stop[1]], np.r_[0, stop[:1]], stop[:2])
+    assert one == two[:1] == maps[:1]  # whatever other lines are at hand
+    assert [int.from_bytes(m[:4], "little") for m in maps] == [len(lines.shingles(t)) for two in made for t in two]
+
+
+def test_substrings_of_repeated_ids(spark):
+    w, u = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    d = spark.createDataFrame([(1, w), (2, w), (2, u), (2, u + " " + w), (3, u), (None, w), (None, u)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.report(d).collect())
+    assert got == [(0, 60, 0), (0, 60, 0), (1, 60, 0), (2, 60, 0), (2, 60, 60), (2, 120, 60), (3, 60, 60)]
+
+
+def test_substrings_in_many_parts(spark, docs, rows, monkeypatch):
+    want = sorted(substrings.report(docs).collect())
+    monkeypatch.setattr(substrings, "PARTS", 50)
+    assert sorted(substrings.report(docs).collect()) == want
