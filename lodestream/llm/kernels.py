@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))

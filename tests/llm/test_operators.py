@@ -189,7 +189,7 @@ def test_many_matches_in_one_text(spark):
     """Linear in the number of matches, and equal to the plain version."""
     import time
 
-    n = 20_000
+    n = 10_000
     text = " ".join(f"user{i}@host{i % 97}.example.com +1 (555) 123-{i % 10000:04} 10.0.{i % 256}.{i % 199}" for i in range(n // 3))
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
     began = time.perf_counter()
@@ -335,13 +335,13 @@ def test_token_files(spark, docs, rows, vocabulary, coder):
         assert Counter((r.doc_id, r.n_tokens) for r in token_files.document_counts(d, vocabulary).collect()) == want
 
 
-def test_token_files_of_many_documents(spark, vocabulary, tmp_path):
+def test_token_files_of_many_documents(spark, vocabulary, coder, tmp_path):
     n = 3 * token_files.DOCS_A_FILE + 7
     odd = [(None, "x"), (None, "x"), (-5, None), ((1 << 63) - 1, ""), (-(1 << 63), "hello"), (1, "c"), (1, "c d")]
     d = spark.range(0, n, 1, 1).selectExpr("id as doc_id", "repeat(' a', cast(id % 5 as int)) as text").union(spark.createDataFrame(odd, "doc_id long, text string").coalesce(1))
     d.coalesce(1).write.parquet(f"{tmp_path}/scan")
     got = Counter((r.doc_id, r.n_tokens) for r in token_files.document_counts(spark.read.parquet(f"{tmp_path}/scan"), vocabulary).collect())
-    assert got == Counter([(i, i % 5) for i in range(n)] + [(None, 1), (None, 1), (-5, 0), ((1 << 63) - 1, 0), (-(1 << 63), 1), (1, 1), (1, 2)])
+    assert got == Counter([(i, i % 5) for i in range(n)] + [(i, len(coder.encode_ordinary(t or ""))) for i, t in odd])
 
 
 @pytest.mark.parametrize("block", [3, 16, 1 << 20])
