@@ -104,8 +104,6 @@ def gram_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarr
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(29)
-    h *= np.uint64(0xC4CEB9FE1A85EC53)
-    h ^= h >> np.uint64(32)
     return np.repeat(np.arange(len(s)), count), h
 
 
