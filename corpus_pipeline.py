@@ -66,7 +66,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of each row, whatever its id; null and empty texts have no ids."""
     vocabulary = byte_bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = byte_bpe.decoded(byte_bpe.encode(docs.select("doc_id", "text"), vocabulary, keep_text=False), vocabulary)
+    out = byte_bpe.encode(docs.select("doc_id", "text"), vocabulary, keep_text=False, decode_to="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

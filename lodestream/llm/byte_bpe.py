@@ -13,7 +13,8 @@ The id of a merged pair is its rank. Words over ``LONG`` bytes merge all places
 of the lowest rank in one step, unless that could differ from merging them one
 by one.
 
-Decoding concatenates the pieces' bytes.
+Decoding concatenates the pieces' bytes, in the worker that puts the ids in
+their places (``encode`` with ``decode_to``) or by itself (``decoded``).
 
 Defined cases: null and empty texts have no ids; special tokens in a text are
 ordinary text; columns of the input are kept, a column ``ids`` is replaced.
@@ -38,11 +39,11 @@ from . import kernels as K
 from .shared import cut, let
 
 #: Text (characters) of a chunk; a longer document is a chunk of its own.
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 1 << 20
 #: Distinct words that a task remembers.
-WORDS_A_TASK = 2_000_000
-#: Documents of a chunk that one batch of results holds.
-DOCS_A_BATCH = 1000
+WORDS_A_TASK = 1_000_000
+#: Documents of a chunk, and ids, that one batch of results holds.
+DOCS_A_BATCH, IDS_A_BATCH = 1000, 1 << 17
 LONG = 64
 #: Slots of the rank table, and of the displacements that spread its keys without a clash; primes.
 SLOTS, BUCKETS = 524287, 65521
@@ -131,6 +132,13 @@ class Vocabulary:
         """Pieces that merging does not rebuild, though a whole word equal to one is its id."""
         return {p: r for p, r in self.ranks.items() if self.merge(p) != [r]}
 
+    def by_id(self) -> list[bytes]:
+        """The piece of every id."""
+        pieces = [b""] * self.size
+        for piece, rank in self.ranks.items():
+            pieces[rank] = piece
+        return pieces
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """The rank table as one row (entries, shift), from literals, with lineage cut."""
         name = "spark.sql.maxPlanStringLength"
@@ -200,7 +208,8 @@ def _ids(word: Column, radix: int, t: dict[str, Column]) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.size(word) - 2), word, merge)
 
-    return F.when(F.size(word) <= LONG + 2, fold(one)).otherwise(fold(every))
+    done = F.when(F.size(word) <= LONG + 2, fold(one)).otherwise(fold(every))
+    return let(done, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), lambda v: v.bitwiseAND(mask).cast("int")))
 
 
 class _Numbered(dict):
@@ -269,41 +278,46 @@ def _chunks(pattern: str, states, most: int, words_a_task: int):
     return run
 
 
-def _spread(batches):
-    """Chunks' rows, with the last states of new words, to their documents' rows: a task's chunks come in order."""
-    mask = (1 << BITS) - 1
-    flat, size = np.zeros(0, np.int32), np.zeros(0, np.int64)
-    for b in batches:
-        for k in range(b.num_rows):
-            fresh, states, codes, counts, *kept = (c.slice(k, 1) for c in b.columns)
-            states = states.flatten()
-            n = states.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            new = states.flatten().to_numpy(zero_copy_only=False) & mask
-            stop = np.cumsum(n)
-            inner = np.ones(len(new), bool)
-            inner[stop - 1] = inner[stop - n] = False  # the ends
-            if fresh[0].as_py():
-                flat, size = new[inner].astype(np.int32), n - 2
-            else:
-                flat, size = np.r_[flat, new[inner].astype(np.int32)], np.r_[size, n - 2]
-            start = np.cumsum(size) - size
-            code = np.frombuffer(codes[0].as_buffer(), np.int32)
-            stop = np.r_[0, np.cumsum(np.frombuffer(counts[0].as_buffer(), np.int32), dtype=np.int64)]
-            kept = [c.flatten() for c in kept]
-            for i in range(0, len(stop) - 1, DOCS_A_BATCH):
-                j = min(i + DOCS_A_BATCH, len(stop) - 1)
-                own = code[stop[i] : stop[j]]
-                m = size[own]
-                before = np.r_[0, np.cumsum(m)]
-                at = np.arange(before[-1]) - np.repeat(before[:-1], m) + np.repeat(start[own], m)
-                lists = pa.ListArray.from_arrays(pa.array(before[stop[i : j + 1] - stop[i]], pa.int32()), pa.array(flat[at], pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in kept), lists], names=[*(f"c{x}" for x in range(len(kept))), "ids"])
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", chunk_chars: int = CHUNK_CHARS, words_a_task: int = WORDS_A_TASK, keep_text: bool = True) -> DataFrame:
-    """docs with ``ids``: the token ids of each text; without the text itself, if it need not be carried on."""
+def _spread(pieces: list[bytes] | None, most: int):
+    """Chunks' rows, with the ids of new words, to their documents' rows with ids and, given the pieces, the
+    bytes they stand for. A task's chunks come in order; a batch of results has about ``most`` ids."""
+
+    def run(batches):
+        join = _joiner(pieces) if pieces else None
+        flat, size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        for b in batches:
+            for k in range(b.num_rows):
+                fresh, words, codes, counts, *kept = (c.slice(k, 1) for c in b.columns)
+                words = words.flatten()
+                new = (words.flatten().to_numpy(zero_copy_only=False), words.value_lengths().to_numpy(zero_copy_only=False))
+                flat, size = new if fresh[0].as_py() else (np.r_[flat, new[0]], np.r_[size, new[1]])
+                start = np.cumsum(size, dtype=np.int64) - size
+                code = np.frombuffer(codes[0].as_buffer(), np.int32)
+                stop = np.r_[0, np.cumsum(np.frombuffer(counts[0].as_buffer(), np.int32), dtype=np.int64)]
+                total = np.r_[0, np.cumsum(size[code], dtype=np.int64)][stop]
+                kept = [c.flatten() for c in kept]
+                i = 0
+                while i < len(stop) - 1:
+                    j = max(i + 1, min(i + DOCS_A_BATCH, int(np.searchsorted(total, total[i] + most, "right")) - 1))
+                    own = code[stop[i] : stop[j]]
+                    m = size[own]
+                    before = np.r_[0, np.cumsum(m, dtype=np.int64)]
+                    at = np.arange(before[-1]) + np.repeat(start[own] - before[:-1], m)
+                    lists = pa.ListArray.from_arrays(pa.array(before[stop[i : j + 1] - stop[i]], pa.int32()), pa.array(flat[at], pa.int32()))
+                    out = [*(c.slice(i, j - i) for c in kept), lists, *([join(lists)] if join else [])]
+                    yield pa.RecordBatch.from_arrays(out, names=[*(f"c{x}" for x in range(len(kept))), "ids", "bytes"][: len(out)])
+                    i = j
+
+    return run
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", chunk_chars: int = CHUNK_CHARS, words_a_task: int = WORDS_A_TASK, keep_text: bool = True, decode_to: str | None = None) -> DataFrame:
+    """docs with ``ids``: the token ids of each text; without the text itself, if it need not be carried on.
+
+    With ``decode_to``, also what decoded() makes of them, as the last column, in the same pass.
+    """
     text = F.col(text_col).cast("string").alias("_text")
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", *([decode_to] if decode_to else []))
     kept = [c for c in docs.columns if keep_text or c != text_col]
     fields = [docs.schema[c] for c in kept]
     byte_ids = np.array([vocabulary.ranks[bytes([i])] for i in range(256)], np.int64)
@@ -315,32 +329,41 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", chun
     words = words.join(F.broadcast(vocabulary.frame(docs.sparkSession)))
     table = {c: F.col(c) for c in ("entries", "shift")}
     done = words.select("fresh", F.transform("words", lambda w: _ids(w, vocabulary.radix, table)).alias("words"), "codes", "counts", *[f"c{i}" for i in range(len(kept))])
-    out = done.mapInArrow(_spread, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return out.toDF(*kept, "ids")
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("bytes", T.BinaryType())] if decode_to else [])]
+    out = done.mapInArrow(_spread(vocabulary.by_id() if decode_to else None, IDS_A_BATCH), T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + made))
+    return out.toDF(*kept, "ids", *([decode_to] if decode_to else []))
+
+
+def _joiner(pieces: list[bytes]):
+    """Function of a list array of ids to the ids' pieces laid one behind the other, null for null."""
+    blob = np.frombuffer(b"".join(pieces), np.uint8)
+    length = np.array([len(x) for x in pieces], np.int32)
+    begin = np.cumsum(length, dtype=np.int64) - length
+
+    def join(lists: pa.ListArray) -> pa.Array:
+        n = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        size = length[ids]
+        stop = np.r_[0, np.cumsum(size, dtype=np.int64)]
+        at = np.arange(stop[-1]) + np.repeat(begin[ids] - stop[:-1], size)
+        offsets = stop[np.r_[0, np.cumsum(n)]]
+        out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(blob[at])]).cast(pa.binary())
+        return pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.binary()))
+
+    return join
 
 
-def _joined(pieces: list[bytes], most: int = 1 << 20):
-    """Rows (ids, columns) to the columns and the ids' pieces laid one behind the other, about ``most`` ids at a time."""
-    length = np.array([len(x) for x in pieces], np.int64)
-    begin = np.cumsum(length) - length
+def _joined(pieces: list[bytes], most: int):
+    """Rows (ids, columns) to the columns and the ids' bytes, about ``most`` ids at a time."""
 
     def run(batches):
-        blob = np.frombuffer(b"".join(pieces), np.uint8)
+        join = _joiner(pieces)
         for b in batches:
-            lists = b.column(0)
-            n = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            i = 0
+            n = np.nan_to_num(b.column(0).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            total, i = np.r_[0, np.cumsum(n)], 0
             while i < b.num_rows:
-                j = i + max(1, int(np.searchsorted(np.cumsum(n[i:]), most, "right")))
-                part = lists.slice(i, j - i)
-                ids = part.flatten().to_numpy(zero_copy_only=False)
-                size = length[ids]
-                stop = np.r_[0, np.cumsum(size)]
-                at = np.arange(stop[-1]) + np.repeat(begin[ids] - stop[:-1], size)
-                offsets = stop[np.r_[0, np.cumsum(n[i:j])]]
-                out = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(blob[at])]).cast(pa.binary())
-                out = pc.if_else(part.is_valid(), out, pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[1:]), out], names=[*b.schema.names[1:], "bytes"])
+                j = max(i + 1, int(np.searchsorted(total, total[i] + most, "right")) - 1)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[1:]), join(b.column(0).slice(i, j - i))], names=[*b.schema.names[1:], "bytes"])
                 i = j
 
     return run
@@ -348,19 +371,16 @@ def _joined(pieces: list[bytes], most: int = 1 << 20):
 
 def decoded(docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """docs with the bytes that the ids of a column stand for (null for null), as column ``to``."""
-    pieces = [b""] * vocabulary.size
-    for piece, rank in vocabulary.ranks.items():
-        pieces[rank] = piece
     docs = docs.drop(to)
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
     rows = docs.select(F.col(ids_col).alias("_ids"), *[docs[c].alias(f.name) for c, f in zip(docs.columns, fields, strict=True)])
-    return rows.mapInArrow(_joined(pieces), T.StructType([*fields, T.StructField("bytes", T.BinaryType())])).toDF(*docs.columns, to)
+    return rows.mapInArrow(_joined(vocabulary.by_id(), IDS_A_BATCH), T.StructType([*fields, T.StructField("bytes", T.BinaryType())])).toDF(*docs.columns, to)
 
 
 def report(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: number of ids, and digests of the ids and of the decoded bytes."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = decoded(encode(docs, vocabulary, keep_text=False), vocabulary)
+    out = encode(docs, vocabulary, keep_text=False, decode_to="decoded")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -385,6 +385,15 @@ def test_byte_bpe(spark, docs, vocabulary, coder, nothing):
     assert byte_bpe.report(nothing, vocabulary).count() == 0
 
 
+def test_byte_bpe_decodes_in_small_batches_of_one_pass(spark, docs, vocabulary, coder, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "IDS_A_BATCH", 50)
+    d = docs.select("doc_id", "text").where("doc_id < 40").union(spark.createDataFrame([(-200 - i, t) for i, t in enumerate([*HARD, None])], "doc_id long, text string"))
+    for r in byte_bpe.encode(d.withColumn("back", F.lit(1)), vocabulary, chunk_chars=400, decode_to="back").collect():
+        assert r.ids == coder.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode(), r.doc_id
+    # a worker for each of two steps: a third one took an executor over its memory
+    assert byte_bpe.report(d, vocabulary)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+
+
 def test_settings_are_left_alone(spark, docs, vocabulary):
     before = dict(spark.conf.getAll)
     byte_bpe.report(docs.limit(5), vocabulary).collect()
