@@ -56,10 +56,15 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def estimated(docs: DataFrame) -> int:
+    """Bytes of docs as Spark estimates them, 0 if it can't."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN else 0
+
+
 def tasks_for(docs: DataFrame, bytes_a_task: int) -> int:
     """Tasks for work over the whole of docs: the session's shuffle partitions, or more where its estimated size asks for more."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_a_task if size < UNKNOWN else 0)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated(docs) // bytes_a_task)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:

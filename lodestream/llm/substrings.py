@@ -17,6 +17,9 @@ by a smaller id. Two passes find the windows to remove:
 A saturated sketch lets more windows through to the second pass; it loses
 none. Windows are compared by 80 bits of hash. What a task collects comes in
 parts whose number follows the input's size, and it holds one part at a time.
+The places that it settles go to a quarter as many buckets of documents, packed
+into one row a bucket, so their rows are bounded by the parts whatever the
+number of tasks.
 
 Defined cases: null and word-free texts have no words; a null id is neither
 earlier nor later than any; rows that repeat an id are neither earlier nor
@@ -34,15 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import cut, row_key, tasks_for
+from .shared import cut, estimated, row_key, tasks_for
 
 #: Cells of each of the sketch's rows; as a bitmap each takes an eighth of this in bytes.
 WIDTH = 1 << 25
 ROWS = 2
 GRAM = 8
-#: Text (bytes) whose windows one task collects, in ``PARTS`` parts.
+#: Text (bytes) whose windows one task collects.
 TEXT_A_TASK = 256 << 20
-PARTS = 4
+#: Parts of the windows: so many a core, or one for so much of the documents' estimated size if that is more.
+PARTS, PART_BYTES = 4, 8 << 20
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -167,7 +171,7 @@ def _gathered(batches):
 _MOVED = ["part", "doc_id", "tag", "h", "h2", "at"]
 
 
-def _candidates(size: int, bitmap, parts: int):
+def _candidates(size: int, bitmap, parts: int, buckets: int):
     def run(batches):
         rows = []
         for b in K.small(batches):
@@ -183,7 +187,7 @@ def _candidates(size: int, bitmap, parts: int):
         h, h2, doc, row, at, first = _settle(*(np.concatenate(x) for x in zip(*rows, strict=True)))
         rows.clear()
         none = [pa.array([b""], pa.binary())] * 2
-        for p, *x in _packed(doc[~first], row[~first], at[~first], parts):
+        for p, *x in _packed(doc[~first], row[~first], at[~first], buckets):
             ids_, tags, places = (pa.array([v], pa.binary()) for v in x)
             yield pa.RecordBatch.from_arrays([pa.array([-1 - p], pa.int32()), ids_, tags, *none, places], names=_MOVED)
         h, h2, doc, row, at = h[first], h2[first], doc[first], row[first], at[first]
@@ -199,12 +203,12 @@ def _candidates(size: int, bitmap, parts: int):
     return run
 
 
-def _late(parts: int):
+def _late(buckets: int):
     def run(batches):
         """Places whose window an earlier document holds, by bucket."""
         for doc, row, h, h2, at in _by_part(batches, (np.int64, np.uint32, np.uint64, np.uint16, np.int32)):
             _, _, doc, row, at, first = _settle(h, h2, doc, row, at)
-            for p, *x in _packed(doc[~first], row[~first], at[~first], parts):
+            for p, *x in _packed(doc[~first], row[~first], at[~first], buckets):
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([v], pa.binary()) for v in x)], names=_PLACES)
 
     return run
@@ -235,6 +239,12 @@ def _kept(size: int):
     return run
 
 
+def parts_for(docs: DataFrame) -> int:
+    """Parts of the windows of docs: they follow its size, and not how many tasks a shuffle has."""
+    size = max(estimated(docs), PART_BYTES * PARTS * docs.sparkSession.sparkContext.defaultParallelism)
+    return -(-size // PART_BYTES)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of each row; kept words are joined by one space."""
     spark = docs.sparkSession
@@ -242,10 +252,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), F.col(text_col).cast("string").alias("text"))
     known = docs.where("doc_id is not null")
     bitmap = spark.sparkContext.broadcast(repeated_names(known, size))
-    tasks = tasks_for(docs, TEXT_A_TASK)
-    moved = cut(known.mapInArrow(_candidates(size, bitmap, PARTS * tasks), "part int, doc_id binary, tag binary, h binary, h2 binary, at binary"))
+    tasks, parts = tasks_for(docs, TEXT_A_TASK), parts_for(docs)
+    buckets = -(-parts // 4)
+    moved = cut(known.mapInArrow(_candidates(size, bitmap, parts, buckets), "part int, doc_id binary, tag binary, h binary, h2 binary, at binary"))
     here = moved.where("part < 0").select((-1 - F.col("part")).alias("bucket"), F.col("doc_id").alias("ids"), F.col("tag").alias("rows"), F.col("at").alias("places"))
-    there = moved.where("part >= 0").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_late(PARTS * tasks), "bucket int, ids binary, rows binary, places binary")
+    there = moved.where("part >= 0").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_late(buckets), "bucket int, ids binary, rows binary, places binary")
     gone = here.union(there).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_gathered, "doc_id long, tag long, places binary")
     out = docs.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "places")
     return out.mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

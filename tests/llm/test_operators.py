@@ -715,3 +715,18 @@ def test_substrings_in_many_parts(spark, docs, rows, monkeypatch):
     want = sorted(substrings.report(docs).collect())
     monkeypatch.setattr(substrings, "PARTS", 50)
     assert sorted(substrings.report(docs).collect()) == want
+
+
+def test_substring_parts_follow_the_size_and_not_the_tasks(spark, docs):
+    want, parts = sorted(substrings.report(docs).collect()), substrings.parts_for(docs)
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "61")
+    try:
+        assert substrings.parts_for(docs) == parts
+        out = substrings.report(docs)
+        assert sorted(out.collect()) == want
+        # the buckets (a quarter) of each part's places, settled or late; 4 * 61 parts made up to 59,536 rows
+        assert parts * -(-parts // 4) <= 100
+    finally:
+        spark.conf.set(name, before)
