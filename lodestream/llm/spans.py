@@ -65,7 +65,7 @@ def apart(x: Column, others: Column) -> Column:
 
 
 def clear_of(found: Column, others: Column) -> Column:
-    """Spans of ``found`` that overlap none of the others."""
+    """Spans of ``found`` that overlap none of the others, in their order."""
 
     def sorted_(both: Column) -> Column:
         # of others that begin at or before a span, the furthest end; of those that begin behind it, the nearest start
@@ -74,14 +74,16 @@ def clear_of(found: Column, others: Column) -> Column:
         furthest = let(ends, lambda a: running(a, F.lit(-1), lambda p, q: F.greatest(p, q)))
         nearest = F.reverse(let(starts, lambda a: running(a, F.lit(LAST), lambda p, q: F.least(p, q))))
         rows = F.arrays_zip(both.alias("x"), furthest.alias("f"), nearest.alias("n"))
-        return F.transform(F.filter(rows, lambda r: (r["x"]["own"] == 1) & (r["f"] <= r["x"]["s"]) & (r["n"] >= r["x"]["e"])), lambda r: r["x"]["x"])
+        kept = F.filter(rows, lambda r: (r["x"]["own"] == 1) & (r["f"] <= r["x"]["s"]) & (r["n"] >= r["x"]["e"]))
+        # back in the order of found, which may be another one than by start and end
+        return F.transform(F.sort_array(F.transform(kept, lambda r: r["x"]["i"])), lambda i: F.get(found, i))
 
-    def tagged(spans: Column, own: int) -> Column:
-        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(own).alias("own"), x["e"].alias("e"), x.alias("x")))
+    def tagged(spans: Column) -> Column:
+        return F.transform(spans, lambda x, i: F.struct(x["s"].alias("s"), F.lit(1).alias("own"), x["e"].alias("e"), i.alias("i")))
 
     none = F.filter(found, lambda x: F.lit(False))
-    stand_in = F.transform(others, lambda o: F.struct(o["s"].alias("s"), F.lit(0).alias("own"), o["e"].alias("e"), F.get(found, F.lit(0)).alias("x")))
-    many = let(F.sort_array(F.concat(stand_in, tagged(found, 1))), sorted_)
+    stand_in = F.transform(others, lambda o: F.struct(o["s"].alias("s"), F.lit(0).alias("own"), o["e"].alias("e"), F.lit(-1).alias("i")))
+    many = let(F.sort_array(F.concat(stand_in, tagged(found))), sorted_)
     return F.when(F.size(found) == 0, none).when(F.size(others) <= FEW, F.filter(found, lambda x: apart(x, others))).otherwise(many)
 
 

@@ -201,6 +201,13 @@ def test_many_matches_in_one_text(spark):
     assert r.base_sha256 == sha(",".join(base)) and took < 60, took
 
 
+def test_clear_of_keeps_the_order(spark):
+    kind = "array<struct<s:int,e:int,v:string>>"
+    found = [(5, 9, "b"), (5, 7, "a"), (1, 3, "z"), (1, 3, "a"), (400, 900, "x")]
+    r = spark.createDataFrame([(found, [(10 + 5 * i, 12 + 5 * i, "v") for i in range(spans.FEW + 6)])], f"a {kind}, b {kind}").select(spans.clear_of(F.col("a"), F.col("b")).alias("c")).first()
+    assert [tuple(x) for x in r.c] == found
+
+
 def test_clear_of_and_runs(spark, monkeypatch):
     import random
 
