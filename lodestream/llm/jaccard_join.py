@@ -12,7 +12,8 @@ expanded into pairs.
   then by hash). Sets at the threshold share a prefix shingle. Lists are
   scanned as ``graph.link_lists`` describes. Pairs are first held against an
   upper bound from small bitmaps of the sets, then verified exactly on the
-  whole sets.
+  whole sets, before which wider bitmaps rule out most pairs just under the
+  threshold at a quarter of the bytes.
 * The boundary is the size that minimises the estimated cost over the
   histogram of all set sizes, with the mean length of all small sets' lists.
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components, link_lists, pairs_within, shared_lists
-from .shared import bounded, cut, row_key
+from .shared import bounded, cut, release, row_key
 
 #: Light sets are never larger than this: the subset count explodes beyond.
 LIGHT_MOST = 14
@@ -46,6 +47,8 @@ LIGHT_MOST = 14
 MANY = 16
 #: Frequent shingles kept for the global order: a bounded table of 16 bytes each.
 FREQUENT_MOST = 1 << 16
+#: Mean bytes of the sets in question from which wider bitmaps come before them; smaller sets cost no more than such a pass.
+WIDE_FROM = 2048
 #: Sizes in lists carry the token's place in its set; places beyond count as the last one.
 PLACES = 1 << 24
 
@@ -192,6 +195,18 @@ def _sets(k: int):
     return run
 
 
+def _wide(batches):
+    """Sets to bitmaps of 16 to 32 bits a shingle, which rule out nearly all pairs that are not alike."""
+    for b in K.small(batches):
+        sets = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+        n = np.array([len(x) for x in sets], np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(K.bitmaps(np.repeat(np.arange(len(n)), n), np.concatenate(sets), n, 16), pa.binary())], names=["node", "items"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
 def _alike(batches):
     """Pairs whose sets have 5 * overlap >= 4 * union."""
     for b in batches:
@@ -245,22 +260,33 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, k: int, keep: tuple
     subsets = sized.where(F.col("size") <= light).mapInArrow(_subsets, _ENTRY)
     t, own, lead = F.pmod("size", F.lit(64)), F.floor(F.col("size") / 64), F.floor(F.col("leader_size") / 64)
     small = shared_lists(subsets, smallest_first=True).where((F.col("node") != F.col("leader")) & (5 * t >= 4 * (own + lead - t)))
-    small = small.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    small = cut(small.select(F.col("leader").alias("a"), F.col("node").alias("b")))
 
     postings = sized.where(F.col("size") >= need(light + 1)).mapInArrow(_postings, _ENTRY)
     outlines = cut(same.groupBy("node").agg(F.min("outline").alias("items")))
+    lists = cut(shared_lists(postings, close=_close_arrays))
+    # the keys and the lists' shuffles are as large as the rest together, and not needed any more
+    prof = cut(prof.drop("keys", "outline"))
+    del same, sized, subsets, postings
+    release(docs.sparkSession)
 
     def verify(pairs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             return pairs
         pairs = cut(verified(pairs, outlines, K.may_be_alike))
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        ids = classes.select("node", F.col("first_id").alias("doc_id")).join(bounded(cut(ends)), "node", "left_semi")
+        ids = classes.select("node", F.col("first_id").alias("doc_id")).join(bounded(cut(_ends(pairs))), "node", "left_semi")
         items = needed(docs, "doc_id", ids).select("text").mapInArrow(_sets(k), "node long, items binary")
-        return verified(pairs, cut(items.groupBy("node").agg(F.min("items").alias("items"))))
+        items = cut(items.groupBy("node").agg(F.min("items").alias("items")))
+        release(docs.sparkSession)
+        if (items.agg(F.avg(F.octet_length("items"))).first()[0] or 0) >= WIDE_FROM:
+            pairs = cut(verified(pairs, cut(items.mapInArrow(_wide, "node long, items binary")), K.may_be_alike))
+            items = items.join(bounded(cut(_ends(pairs))), "node", "left_semi")
+        found = cut(verified(pairs, items))
+        del items, ids, pairs
+        release(docs.sparkSession)
+        return found
 
     close = _close(F.col("size"), F.col("leader_size"), F.floor, F.ceil, F.least, F.greatest)
-    lists = cut(shared_lists(postings, close=_close_arrays))
     comp = components(link_lists(lists, close, verify, lambda part: verify(cut(pairs_within(part, _close_arrays))), MANY).union(small))
     own = classes.select("node", "first_id")
     linked = own.join(bounded(comp), "node")

@@ -153,13 +153,13 @@ def fold(values: np.ndarray, seed: int) -> int:
     return int(np.sum(x, dtype=np.uint64, keepdims=True).view(np.int64)[0])
 
 
-def bitmaps(owner: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """For each owner of ``n`` distinct hashes: n (four bytes), then a bitmap with a bit set where an odd number of them fall.
+def bitmaps(owner: np.ndarray, h: np.ndarray, n: np.ndarray, bits: int = 2) -> list[bytes]:
+    """For each owner of ``n`` distinct hashes: n (four bytes), then a bitmap of ``bits`` a hash or more, with a bit set where an odd number of them fall.
 
     Two bitmaps differ in no more places than the sets do. One of twice as
     many bits, folded, is one of half as many.
     """
-    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(bits * n, 1))).astype(np.int64))
     begin = np.cumsum(width) - width
     at = begin[owner] + (h & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
     packed = np.packbits((np.bincount(at, minlength=int(width.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()

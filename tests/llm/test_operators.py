@@ -468,6 +468,26 @@ def test_components(spark):
 # 7 ---------------------------------------------------------------------
 
 
+def test_wide_bitmaps_rule_out_pairs_under_the_threshold():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd, passed = random.Random(3), Counter()
+    for _ in range(60):
+        n = rnd.randint(800, 1200)
+        x = [rnd.getrandbits(64) for _ in range(n)]
+        for j in (0.77, 0.78, 0.8):
+            same = math.ceil(2 * n * j / (1 + j))  # of two sets of n
+            y = x[:same] + [rnd.getrandbits(64) for _ in range(n - same)]
+            sets = [np.unique(np.array(v, np.uint64)) for v in (x, y)]
+            wide = next(jaccard_join._wide([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([v.tobytes() for v in sets], pa.binary())], names=["node", "items"])]))
+            both = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), *(wide.column(1).slice(i, 1) for i in (0, 1))], names=["a", "b", "x", "y"])
+            passed[j] += next(kernels.may_be_alike([both])).num_rows
+    assert passed[0.8] == 60 and passed[0.77] == 0 and passed[0.78] <= 6
+
+
 def test_licenses(spark, docs, nothing):
     more = ["CC BY cc  by, cc-by CC_BY", "General Public License all rights reserved ALL RIGHTS RESERVED", "licensed under teh Apache License, Version 2.0 ok", "all rights " * 500]
     d = docs.select("doc_id", "text").union(spark.createDataFrame([(-300 - i, t) for i, t in enumerate(more)], "doc_id long, text string"))
