@@ -163,9 +163,9 @@ def _ids(word: Column, radix: int, t: dict[str, Column]) -> Column:
 
     def place(key: Column) -> Column:
         """What stands at the first piece of a pair; an entry of another key is too far off to be a rank."""
-        slot = F.pmod(key.bitwiseXOR(F.get(t["shift"], F.pmod(key, F.lit(BUCKETS)).cast("int"))), F.lit(SLOTS)).cast("int")
+        slot = (key.bitwiseXOR(F.get(t["shift"], (key % BUCKETS).cast("int"))) % SLOTS).cast("int")
         rank = F.least(F.pmod(F.get(t["entries"], slot) - F.shiftleft(key, BITS), F.lit(1 << 60)), F.lit(NONE).cast("long"))
-        return F.shiftleft(rank, BITS) + F.floor(key / radix)
+        return F.shiftleft(rank, BITS) + F.call_function("div", key, F.lit(radix))
 
     def one(x: Column, m: Column) -> Column:
         new = F.shiftright(m, BITS)
@@ -384,6 +384,6 @@ def report(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.btrim(F.to_json("ids"), F.lit("[]")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
