@@ -7,8 +7,9 @@ the optimizer. SQL semantics hold throughout, nulls included.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil, sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Step = Callable[[DataFrame], DataFrame]
@@ -24,6 +25,8 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "any": F.any_value,
     "approx_distinct": F.approx_count_distinct,
 }
+#: Rows of a block of join_greater; a block's rows lie in one array.
+BLOCK = 512
 JOINS = {"inner": "inner", "leftsemi": "left_semi", "leftouter": "left_outer", "leftanti": "left_anti", "rightouter": "right_outer", "fullouter": "full_outer"}
 
 
@@ -51,6 +54,38 @@ def join(right: DataFrame, on: Column | Sequence[str], kind: str = "inner") -> S
     return lambda df: df.join(right, on, JOINS[kind])
 
 
+def _blocks(df: DataFrame, keys: Sequence[str], value: Column, side: str) -> DataFrame:
+    """The rows of each key in the order of a value, in arrays of at most BLOCK, with the number, size and bounds of each."""
+    row = [F.struct(value.alias("v"), F.struct("*").alias("row")).alias("e")]
+    at = [f"{side}_k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(a) for k, a in zip(keys, at, strict=True)], *row).where("e.v is not null")
+    # The whole row breaks ties, so that a task that runs again makes the same blocks.
+    number = F.floor((F.row_number().over(Window.partitionBy(*at).orderBy("e")) - 1) / BLOCK).alias(f"{side}_no")
+    block = {"size": F.count(F.lit(1)), "low": F.min("e.v"), "high": F.max("e.v"), "rows": F.collect_list("e")}
+    return rows.select("*", number).groupBy(*at, f"{side}_no").agg(*[made.alias(f"{side}_{name}") for name, made in block.items()])
+
+
+def join_greater(right: DataFrame, equal: Sequence[tuple[str, str]], value: Column, bound: Column) -> Step:
+    """Inner join on equal columns (left, right) and the left's value > the right's bound, for few keys of many rows.
+
+    Blocks of a key meet only where some value can exceed some bound, so the work follows the rows in
+    and out, not all pairs of a key. A first job counts the pairs to try; the tasks that try them grow
+    with its root, as the input does. Columns must have an order; value and bound are both numbers or of one type.
+    """
+
+    def step(left: DataFrame) -> DataFrame:
+        a, b = _blocks(left, [l for l, _ in equal], value, "l"), _blocks(right, [r for _, r in equal], bound, "r")
+        same = [F.col(f"l_k{i}") == F.col(f"r_k{i}") for i in range(len(equal))]
+        met = a.join(b, [*same, F.col("l_high") > F.col("r_low")])
+        tries = met.agg(F.sum(F.col("l_size").cast("double") * F.col("r_size"))).first()[0] or 0
+        parts = max(1, ceil(sqrt(tries) / 128))
+        dealt = met.repartition(parts, *[f"l_k{i}" for i in range(len(equal))], "l_no", "r_no")
+        pairs = dealt.select(F.explode("l_rows").alias("l"), "r_rows").select("l", F.explode("r_rows").alias("r"))
+        return pairs.where("l.v > r.v").select("l.row.*", "r.row.*")
+
+    return step
+
+
 def with_scalar(single: DataFrame) -> Step:
     """Append the columns of a one-row aggregate to every row; more than one row fails the query."""
     named = [F.first(c).alias(c) for c in single.columns]

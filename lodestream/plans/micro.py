@@ -134,7 +134,8 @@ def join_two_keys(a, b):
 
 @_q("customer supplier", "select c_custkey, s_suppkey from customer join supplier on c_nationkey = s_nationkey and c_acctbal > s_acctbal + 9000")
 def join_residual(a, b):
-    return a.transform(R.join(b, (a.c_nationkey == b.s_nationkey) & (a.c_acctbal > b.s_acctbal + 9000))).select("c_custkey", "s_suppkey")
+    a, b = a.select("c_custkey", "c_nationkey", "c_acctbal"), b.select("s_suppkey", "s_nationkey", "s_acctbal")
+    return a.transform(R.join_greater(b, [("c_nationkey", "s_nationkey")], c("c_acctbal"), c("s_acctbal") + 9000)).select("c_custkey", "s_suppkey")
 
 
 @_q("customer orders", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")

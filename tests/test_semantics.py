@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lodestream.functions.exprs import in_tuples
 from lodestream.operators import relational as R
+from lodestream.plans import QUERIES
 from lodestream.plans.planfront import PlanError, Translator
 from lodestream.sources import catalog, ingest, sinks
 
@@ -37,6 +38,47 @@ def test_joins(left, right):
     assert collect(left.transform(R.join(right, on, "rightanti"))) == [(3, 40), (None, 30)]
 
 
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_join_greater(spark, monkeypatch, block):
+    monkeypatch.setattr(R, "BLOCK", block)
+    values = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1.5, 1.5, 2.0, 7.0, 7.0, -3.0]
+    left = spark.createDataFrame([(i, k, "x", v) for k in (1, 2, None) for i, v in enumerate(values * 2)], "i int, k int, m string, v double")
+    right = spark.createDataFrame([(j, k, "x", v) for k in (1, 3, 2, None) for j, v in enumerate(values)], "j int, k2 int, m2 string, w double")
+    on = (F.col("k") == F.col("k2")) & (F.col("m") == F.col("m2")) & (F.col("v") > F.col("w") + 1)
+    keys = [("k", "k2"), ("m", "m2")]
+    got = left.transform(R.join_greater(right, keys, F.col("v"), F.col("w") + 1))
+    assert got.columns == left.columns + right.columns
+    want = collect(left.join(right, on))
+    assert len(want) > 100 and str(collect(got)) == str(want)  # NaN differs from itself
+    assert collect(left.where("i < 0").transform(R.join_greater(right, keys, F.col("v"), F.col("w")))) == []
+    assert collect(left.transform(R.join_greater(right.where("k2 = 3"), keys, F.col("v"), F.col("w")))) == []
+
+
+def test_join_residual_is_spread(spark, tmp_path):
+    """Rows of one nation are paired by many tasks, more of them with more rows, and pairs far from the bound by none."""
+
+    def tables(n):
+        at = str(tmp_path / str(n))
+        spark.range(10 * n).selectExpr("id as c_custkey", "1 as c_nationkey", "double(id * 7919 % 10000) as c_acctbal").coalesce(1).write.parquet(f"{at}/customer.parquet")
+        spark.range(n).selectExpr("id as s_suppkey", "1 as s_nationkey", "double(id * 104729 % 10000) as s_acctbal").coalesce(1).write.parquet(f"{at}/supplier.parquet")
+        return at
+
+    parts = []
+    for n in (1500, 6000):
+        at = tables(n)
+        a, b = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("customer", "supplier"))
+        plain = a.join(b, (a.c_nationkey == b.s_nationkey) & (a.c_acctbal > b.s_acctbal + 9000))
+        sums = [F.count(F.lit(1)).alias("n"), F.sum("c_custkey"), F.sum("s_suppkey"), F.sum(F.col("c_custkey") * F.col("s_suppkey"))]
+        df = QUERIES["join_residual"](spark, at)
+        assert df.agg(*sums).first() == plain.agg(*sums).first()
+        share = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+        assert max(share) < sum(share) / 2
+        parts.append(df.rdd.getNumPartitions())
+    assert parts[1] > parts[0] > 1
+    # Of 60,000 x 6,000 pairs half a hundredth is joined; the blocks that meet hold under 4 in a hundred.
+    assert parts[1] * 128 < 0.2 * (60000 * 6000) ** 0.5
+
+
 def test_aggregates_nulls_and_empty(left, right):
     g = right.transform(R.aggregate([], n=("count_star", None), m=("count", F.col("k2")), s=("sum", F.col("y")), a=("avg", F.col("y"))))
     assert collect(g) == [(4, 3, 100, 25.0)]
